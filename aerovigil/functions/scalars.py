@@ -64,6 +64,11 @@ def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def any_of(conditions: list[Column]) -> Column:
+    """True when a condition holds; unknown counts as not holding."""
+    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conditions], F.lit(False))
+
+
 def weighted(terms: list[tuple[float, Column]]) -> Column:
     return total([F.lit(w) * c for w, c in terms])
 

@@ -122,10 +122,10 @@ _C1_SQL = _WINDOW_LABEL + f""",
         round(bad, 8) as bad_packet_ratio, round(1 - bad, 8) as packet_delivery_ratio, retries as mac_retry_count,
         retries as retransmission_count, round(least(air / (d * 1e6 + 1e-9), 1) * 100, 6) as channel_occupancy_pct,
         case when bad > 0.1 then retries else 0 end as cca_failure_count, round(seq_sd, 6) as backoff_count,
-        round(n / d, 6) as packets_per_second, round(bytes / d, 4) as bytes_per_second,
+        round(m.n / d, 6) as packets_per_second, round(bytes / d, 4) as bytes_per_second,
         src::double as unique_source_count, round(es.h, 6) + 0.0 as src_ip_entropy, round(ed.h, 6) + 0.0 as dst_ip_entropy,
         round(icmp / d, 6) as icmp_packet_rate, round(tcp / d, 6) as connection_attempts_per_sec,
-        round(tcp / d / (n / d + 1e-9) * n, 4) as half_open_connections,
+        round(tcp / d / (m.n / d + 1e-9) * m.n, 4) as half_open_connections,
         round(case when bad > 0.05 then tcp / d else 0 end, 6) as tcp_retransmission_rate,
         round(udp / d, 6) as udp_packet_rate, round(tcp / d, 6) as syn_packet_rate, round(ep.h, 6) + 0.0 as port_scan_score,
         round(rssi_sd, 6) as rssi_dbm_std, round(rate, 8) as data_rate_mbps, round(mean_len, 8) as mean_packet_size_bytes,
