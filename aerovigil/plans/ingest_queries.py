@@ -10,8 +10,8 @@ from aerovigil.plans.registry import query
 from aerovigil.sources.fixtures import packets, packets_sql, telemetry, telemetry_sql
 
 HOURS_6 = 6 * 3600
-_P = f"with packets as ({packets_sql()})"
-_T = f"with telemetry as ({telemetry_sql()})"
+_P = f"with packets as materialized ({packets_sql()})"
+_T = f"with telemetry as materialized ({telemetry_sql()})"
 # The label rules once more, as SQL.
 _LABEL = """case replace(replace(lower(trim(label_raw)), ' ', '_'), '-', '_')
     when 'normal' then 'normal' when 'benign' then 'normal' when 'background' then 'normal' when '' then 'normal'
@@ -47,7 +47,7 @@ def _(spark, sf):
             .groupBy("label_raw", "label").agg(F.count("*").alias("packets")))
 
 
-@query("b2_labels_in_schema", f"""{_T}, p as ({_P[len('with packets as '):]}) select
+@query("b2_labels_in_schema", f"""{_T}, p as ({_P[len('with packets as materialized '):]}) select
     (select bool_and(lower(label) in ('normal','jamming','dos','ddos','suspicious')) from telemetry) as telemetry_in_schema,
     (select bool_and(lower(trim(label_raw)) in ('normal','jamming','dos','ddos','suspicious')) from p) as packets_in_schema""")
 def _(spark, sf):

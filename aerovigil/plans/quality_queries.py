@@ -10,8 +10,8 @@ from aerovigil.operators import quality as Q
 from aerovigil.plans.registry import query
 from aerovigil.sources.fixtures import packets, packets_sql, telemetry, telemetry_sql
 
-_R = f"with t as ({telemetry_sql(raw=True)})"
-_T = f"with t as ({telemetry_sql()})"
+_R = f"with t as materialized ({telemetry_sql(raw=True)})"
+_T = f"with t as materialized ({telemetry_sql()})"
 _MEDIANS = "snr_db packets_per_second".split()
 
 

@@ -51,6 +51,27 @@ TELEMETRY = {
     "command_frequency": "cast(l_linenumber * 5 as double)",
 }
 
+# Model scores and feature flags as later stages see them.
+SCORES = {
+    "jam_threshold_score": "l_linenumber % 5",
+    "dos_threshold_score": "cast(l_partkey % 5 as int)",
+    "noise_floor_drift_db": "(l_tax + 0.0) * 100",
+    "packets_per_second_burst_index": "1 + (l_discount + 0.0) * 90",
+    "noise_floor_drift_flag": "case when l_partkey % 9 = 0 then 1 else 0 end",
+    "jamming_conf_attack": "case when l_returnflag = 'A' then 0.95 else l_quantity / 60 end + 0.0",
+    "dos_conf_attack": "case when l_returnflag = 'R' then 0.9 else cast(l_partkey % 60 as double) / 100 end + 0.0",
+    "hybrid_conf_attack": "cast(l_orderkey % 100 as double) / 100",
+    "edge_alarm": "case when l_returnflag = 'A' and l_linenumber % 4 > 0 then 1 else 0 end",
+    "gru_jam_flag": "case when l_returnflag = 'A' and l_partkey % 3 = 0 then 1 else 0 end",
+    "jamming_ae_flag": "case when l_returnflag = 'A' and l_orderkey % 5 > 1 then 1 else 0 end",
+    "dos_ae_flag": "case when l_returnflag = 'R' and l_orderkey % 4 > 0 then 1 else 0 end",
+    "traffic_outlier": "case when l_returnflag = 'R' and l_partkey % 3 > 0 then 1 else 0 end",
+    "coordinated_flood_flag": "case when l_partkey % 25 = 0 then 1 else 0 end",
+    "cross_layer_attack_flag": "case when l_orderkey % 6 = 0 then 1 else 0 end",
+    "cross_layer_anomaly_score": "cast(l_partkey % 77 as double) / 100",
+    "swarm_consensus_anomaly_score": "cast(l_orderkey % 91 as double) / 100",
+}
+
 # Same rows with gaps, out-of-range values and inconsistent counts, before cleaning.
 RAW_TELEMETRY = {
     **TELEMETRY,
@@ -106,9 +127,11 @@ def _view(df: DataFrame, mapping: dict[str, str], columns: list[str] | None) ->
     return df.selectExpr(*[f"{mapping[c]} as {c}" for c in wanted])
 
 
-def telemetry(spark: SparkSession, sf_dir: str, *columns: str, raw: bool = False) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, *columns: str, raw: bool = False,
+              scores: bool = False) -> DataFrame:
     """One row per lineitem; unique ``source_row_id``; the named columns, or all."""
-    mapping = {"source_row_id": _SPARK_ROW_ID, **(RAW_TELEMETRY if raw else TELEMETRY)}
+    mapping = {"source_row_id": _SPARK_ROW_ID, **(RAW_TELEMETRY if raw else TELEMETRY),
+               **(SCORES if scores else {})}
     return _view(load(spark, sf_dir, "lineitem"), mapping, ["source_row_id", *columns] if columns else None)
 
 
@@ -117,9 +140,10 @@ def packets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return _view(load(spark, sf_dir, "events"), PACKETS, list(columns) or None)
 
 
-def telemetry_sql(raw: bool = False) -> str:
+def telemetry_sql(raw: bool = False, scores: bool = False) -> str:
     """The telemetry view as one DuckDB select."""
-    mapping = {"source_row_id": _DUCK_ROW_ID, **(RAW_TELEMETRY if raw else TELEMETRY)}
+    mapping = {"source_row_id": _DUCK_ROW_ID, **(RAW_TELEMETRY if raw else TELEMETRY),
+               **(SCORES if scores else {})}
     return "select " + ", ".join(f"{e} as {n}" for n, e in mapping.items()) + " from lineitem"
 
 
