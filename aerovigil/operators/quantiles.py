@@ -67,24 +67,28 @@ def normal_quantiles(df: DataFrame, specs: dict[str, tuple[str, float]], label:
     return {n: float(found.get(n) or 0.0) for n in specs}
 
 
-def grouped_median(df: DataFrame, keys: list[str], metrics: list[str], *,
-                   rows_per_task: int = 1_000_000, inside: int = INSIDE_VALUES) -> DataFrame:
-    """Exact median of every metric per group; groups beyond ``rows_per_task`` use rank selection."""
+def grouped_quantiles(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, float]], *,
+                      rows_per_task: int = 1_000_000, inside: int = INSIDE_VALUES) -> DataFrame:
+    """Exact quantiles per group; groups beyond ``rows_per_task`` rows use rank selection."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     large = sizes.where(F.col("_rows") > rows_per_task).select(*keys)
-    direct = [F.median(m).alias(m) for m in metrics]
+    direct = [F.percentile(c, F.lit(float(q))).alias(n) for n, (c, q) in specs.items()]
     if large.isEmpty():
         return df.groupBy(*keys).agg(*direct)
-    ordinary = df.join(large, keys, "left_anti").groupBy(*keys).agg(*direct)
-    long = df.join(large, keys, "left_semi").select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.lit(0.5).alias("q"), F.col(m).cast("double").alias("v"))
-        for m in metrics])).alias("x")).select(*keys, "x.*")
+    ordinary = df.join(small_side(large), keys, "left_anti").groupBy(*keys).agg(*direct)
+    long = df.join(small_side(large), keys, "left_semi").select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("metric"), F.lit(float(q)).alias("q"), F.col(c).cast("double").alias("v"))
+        for n, (c, q) in specs.items()])).alias("x")).select(*keys, "x.*")
     chosen = _select_ranks(long, [*keys, "metric"], inside)
     heavy = chosen.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
+        F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in specs])
     return ordinary.unionByName(heavy)
 
 
+def grouped_median(df: DataFrame, keys: list[str], metrics: list[str], **options) -> DataFrame:
+    return grouped_quantiles(df, keys, {m: (m, 0.5) for m in metrics}, **options)
+
+
 def _select_ranks(long: DataFrame, keys: list[str], inside: int) -> DataFrame:
     """Rows (keys, q, v) to (keys, value): the interpolated q-quantile of v, exactly."""
     data = long.where(F.col("v").isNotNull() & ~F.isnan("v")).select(*keys, "q", (F.col("v") + 0.0).alias("v"))

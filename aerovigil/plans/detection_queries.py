@@ -87,10 +87,11 @@ def _(spark, sf):
 def _(spark, sf):
     p = _peers(spark, sf)
     limits = P.peer_limits(p)
-    p = p.withColumn("swarm_consensus_anomaly_score", F.round("swarm_consensus_anomaly_score", 9))
+    p = p.withColumn("score", F.round("swarm_consensus_anomaly_score", 6)).withColumn(
+        "swarm_consensus_anomaly_score", F.round("swarm_consensus_anomaly_score", 9))
     limits["score"] = round(limits["score"], 9)
     return P.peer_flags(p, limits).select(
-        "source_row_id", F.round("swarm_consensus_anomaly_score", 6).alias("swarm_consensus_anomaly_score"),
+        "source_row_id", F.col("score").alias("swarm_consensus_anomaly_score"),
         "isolated_signal_outlier", "coordinated_flood_flag", "swarm_entropy_divergence_flag", "swarm_anomaly_flag")
 
 

