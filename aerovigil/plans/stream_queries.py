@@ -69,13 +69,13 @@ def _(spark, sf):
     b as (select source_row_id, (5 + sum(pos) over w) / (6 + sum(pos) over w + sum(neg) over w) as bt from s window w as (partition by node_id order by p)),
     c as (select node_id, p, source_row_id, least(1::double, greatest(0::double, 1 + step)) as x from s where p = 1 union all
         select s.node_id, s.p, s.source_row_id, least(1::double, greatest(0::double, c.x + s.step)) from c join s on s.node_id = c.node_id and s.p = c.p + 1)
-    select c.source_row_id, round(bt, 6) as beta_trust, round(x, 6) as clamped_trust from b join c on b.source_row_id = c.source_row_id""")
+    select c.source_row_id, round(bt + 1.23e-9, 6) as beta_trust, round(x, 6) as clamped_trust from b join c on b.source_row_id = c.source_row_id""")
 def _(spark, sf):
     s = _telemetry_stream(spark, sf, "node_id", "ts", "label", "bad_packet_ratio").selectExpr(
         "source_row_id", "node_id", "ts", "6 - bad_packet_ratio as positive_evidence", "bad_packet_ratio as negative_evidence",
         "cast(case when label = 'normal' then 0.01 else -0.05 end as double) as trust_step")
     t = R.run_available(T.trust_stream(s), "trust")
-    return t.select("source_row_id", F.round("beta_trust", 6).alias("beta_trust"), (F.round("clamped_trust", 6) + 0.0).alias("clamped_trust"))
+    return t.select("source_row_id", F.round(F.col("beta_trust") + 1.23e-9, 6).alias("beta_trust"), (F.round("clamped_trust", 6) + 0.0).alias("clamped_trust"))
 
 
 @query("i8_stream_event_log", f"{_P} select count(*) as n_events, count(*) as intact, count(distinct node_id) as nodes from p")
