@@ -31,17 +31,16 @@ def attach_scores(df: DataFrame, edge: DataFrame | None, gateway: DataFrame | No
 
 def fusion_limits(df: DataFrame) -> dict:
     """Limits calibrated on normal rows, the spread of the source signals, presence of hybrid truth."""
-    limits: dict = normal_quantiles(df, {
+    spread = lambda c: F.stddev_samp(S.with_default(df, c, None).cast("double"))
+    limits = normal_quantiles(df, {
         "cross": ("cross_layer_anomaly_score", 0.95), "swarm": ("swarm_consensus_anomaly_score", 0.95),
         "jam": ("jam_threshold_score", 0.99), "dos": ("dos_threshold_score", 0.99),
-        "sources": ("unique_source_count", 0.95), "entropy": ("src_ip_entropy", 0.90)})
-    stats = df.agg(
-        F.stddev_samp(S.with_default(df, "unique_source_count", None).cast("double")).alias("sources"),
-        F.stddev_samp(S.with_default(df, "src_ip_entropy", None).cast("double")).alias("entropy"),
-        F.bool_or(F.lower(S.with_default(df, "label", "")).contains("hybrid")).alias("hybrid")).first()
-    limits["sources_vary"] = (stats["sources"] or 0.0) > 1e-9
-    limits["entropy_varies"] = (stats["entropy"] or 0.0) > 1e-9
-    limits["truth_has_hybrid"] = bool(stats["hybrid"])
+        "sources": ("unique_source_count", 0.95), "entropy": ("src_ip_entropy", 0.90)},
+        extra={"sources_sd": spread("unique_source_count"), "entropy_sd": spread("src_ip_entropy"),
+               "hybrid_truth": F.bool_or(F.lower(S.with_default(df, "label", "")).contains("hybrid"))})
+    limits["sources_vary"] = (limits["sources_sd"] or 0.0) > 1e-9
+    limits["entropy_varies"] = (limits["entropy_sd"] or 0.0) > 1e-9
+    limits["truth_has_hybrid"] = bool(limits["hybrid_truth"])
     return limits
 
 

@@ -10,6 +10,7 @@ from aerovigil.constants import (ALL_METRICS, BOUNDS, CONSISTENCY_RULES, DOS_MET
                                  ZERO_FILLED_COUNTS)
 from aerovigil.functions import scalars as S
 from aerovigil.operators.quantiles import exact_quantiles
+from aerovigil.session import durable
 
 SPIKE_LIMIT = 4.0
 
@@ -89,16 +90,18 @@ def spike_fields(stats: dict[str, tuple[float, float]], limit: float = SPIKE_LIM
     return S.names_where(usable) if usable else F.array().cast("array<string>")
 
 
-def mark_duplicates(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+def first_rows(df: DataFrame) -> DataFrame:
+    """source_row_id of the first row per (ts, node_id): a partially aggregated minimum."""
+    return df.groupBy("ts", "node_id").agg(F.min("source_row_id").alias("source_row_id")).select("source_row_id")
+
+
+def mark_duplicates(df: DataFrame) -> DataFrame:
     """``duplicate_flag`` on every row of a (ts, node) after the first, by source_row_id.
 
-    The first id per key comes from an aggregation joined back, so a key of any size is fine.
+    The join is on the unique row id, so a key with any number of copies spreads over all tasks.
     """
-    keys = ["ts", "node_id"]
-    first = df.groupBy(*keys).agg(F.min("source_row_id").alias("_first"), F.count("*").alias("_copies"))
-    repeated = first.where("_copies > 1").drop("_copies")
-    return (df.join(repeated, keys, "left")
-            .withColumn("duplicate_flag", S.flag(F.col("source_row_id") > F.col("_first"))).drop("_first"))
+    first = first_rows(df).withColumn("duplicate_flag", F.lit(0))
+    return df.join(first, "source_row_id", "left").fillna(1, ["duplicate_flag"])
 
 
 def check_quality(df: DataFrame, spike_limit: float = SPIKE_LIMIT) -> DataFrame:
@@ -122,7 +125,7 @@ def quality_score() -> Column:
 def drop_poor(df: DataFrame, limit: float = 0.5) -> DataFrame:
     """Rows below the issue limit, then the first remaining row per (ts, node)."""
     kept = df.where(F.col("quality_issue_score") < limit) if "quality_issue_score" in df.columns else df
-    return mark_duplicates(kept.drop("duplicate_flag")).where("duplicate_flag = 0").drop("duplicate_flag")
+    return kept.drop("duplicate_flag").join(first_rows(kept), "source_row_id", "left_semi")
 
 
 def clip_bounds(df: DataFrame) -> DataFrame:
@@ -194,8 +197,12 @@ def scaled_groups(df: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def clean(df: DataFrame, limit: float = 0.5) -> DataFrame:
-    """Drop poor rows, clip, impute and add ratios. Raw columns stay raw; scale separately."""
-    return add_ratios(impute(clip_bounds(drop_poor(df, limit)))).withColumn("cleaned", F.lit(1))
+    """Drop poor rows, clip, impute and add ratios. Raw columns stay raw; scale separately.
+
+    The checked table is written once: dropping reads it twice and the medians once more.
+    """
+    kept = drop_poor(durable(df), limit)
+    return add_ratios(impute(clip_bounds(kept))).withColumn("cleaned", F.lit(1))
 
 
 def useless_columns(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:

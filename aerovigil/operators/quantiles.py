@@ -48,23 +48,22 @@ def exact_quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]], *,
 
 
 def normal_quantiles(df: DataFrame, specs: dict[str, tuple[str, float]], label: str = "label",
-                     **options) -> dict[str, float]:
+                     extra: dict[str, Column] | None = None, **options) -> dict:
     """Quantiles over rows labelled normal; over all rows unless more than ten are normal.
 
-    Absent columns and columns without a value give 0.
+    Absent columns and columns without a value give 0. ``extra`` aggregates over all rows ride along
+    with the counting pass and are returned under their names.
     """
     present = {n: s for n, s in specs.items() if s[0] in df.columns}
-    subset = df
-    if label in df.columns:
-        normal = F.col(label) == "normal"
-        rows, normals = df.agg(F.count("*"), F.count_if(normal)).first()
-        if normals > 10:
-            subset, rows = df.where(normal), normals
-    else:
-        rows = df.count()
-    found = exact_quantiles(subset, {n: (to_number(F.col(c), None), q) for n, (c, q) in present.items()},
-                            rows=rows, **options)
-    return {n: float(found.get(n) or 0.0) for n in specs}
+    extra = extra or {}
+    normal = (F.col(label) == "normal") if label in df.columns else F.lit(False)
+    row = df.agg(F.count("*").alias("_rows"), F.count_if(normal).alias("_normals"),
+                 *[c.alias(n) for n, c in extra.items()]).first()
+    few = row["_normals"] <= 10
+    found = exact_quantiles(df if few else df.where(normal),
+                            {n: (to_number(F.col(c), None), q) for n, (c, q) in present.items()},
+                            rows=row["_rows"] if few else row["_normals"], **options)
+    return {**{n: float(found.get(n) or 0.0) for n in specs}, **{n: row[n] for n in extra}}
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, float]], *,
