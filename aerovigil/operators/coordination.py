@@ -56,23 +56,28 @@ def evidence(df: DataFrame) -> DataFrame:
     return df.withColumn("_score", score).withColumns({
         "positive_evidence": F.greatest(1.0 - F.col("_score"), F.lit(0.0)) + extra_good,
         "negative_evidence": F.col("_score") + extra_bad,
-        "evidence_score": S.clip(F.col("_score"), 0, 1)}).drop("_score")
+        "evidence_score": S.bounded(F.col("_score"), 0, 1)}).drop("_score")
 
 
 def recent_nodes(df: DataFrame, min_nodes: int = 3, min_confidence: float = 0.50,
                  rows_per_task: int = ROWS_PER_GLOBAL_TASK) -> DataFrame:
-    """Over the last ten rows of the whole table: attacking nodes, their number, suspicious share."""
-    s = order_rows(df, GLOBAL_ORDER, halo=RECENT_ROWS, rows_per_task=rows_per_task)
-    frame = s.last_rows(RECENT_ROWS)
+    """Over the last ten rows of the whole table: attacking nodes, their number, suspicious share.
+
+    Works on the five columns it needs and returns them by source_row_id, so that only narrow rows
+    take part in the global ordering.
+    """
     label, node = F.col("final_label"), F.col("node_id")
     sure = label.isin(K.ATTACK_FINAL_LABELS) & (_num(df, "fusion_confidence") >= min_confidence)
+    narrow = df.select(*GLOBAL_ORDER, F.when(sure, node).alias("_attacker"), F.when(label != "NORMAL", node).alias("_suspect"))
+    s = order_rows(narrow, GLOBAL_ORDER, halo=RECENT_ROWS, rows_per_task=rows_per_task)
+    frame = s.last_rows(RECENT_ROWS)
     out = s.rows.withColumns({
-        "coordinated_nodes": F.array_sort(F.collect_set(F.when(sure, node)).over(frame)),
-        "_suspects": F.size(F.collect_set(F.when(label != "NORMAL", node)).over(frame))})
-    return s.finish(out).drop("_pos").withColumns({
-        "coordinated_node_count": F.size("coordinated_nodes"),
-        "multi_node_factor": F.least(F.col("_suspects") / 5.0, F.lit(1.0)),
-        "coordinated_attack_detected": F.size("coordinated_nodes") >= min_nodes}).drop("_suspects")
+        "coordinated_nodes": F.array_sort(F.collect_set("_attacker").over(frame)),
+        "_suspects": F.size(F.collect_set("_suspect").over(frame))})
+    return s.finish(out).select(
+        "source_row_id", "coordinated_nodes", F.size("coordinated_nodes").alias("coordinated_node_count"),
+        F.least(F.col("_suspects") / 5.0, F.lit(1.0)).alias("multi_node_factor"),
+        (F.size("coordinated_nodes") >= min_nodes).alias("coordinated_attack_detected"))
 
 
 def hypotheses(df: DataFrame) -> DataFrame:
@@ -81,9 +86,9 @@ def hypotheses(df: DataFrame) -> DataFrame:
     risk, many = F.greatest(n("jam_risk_score"), n("dos_risk_score")), n("multi_node_factor")
     swarm, cross = n("swarm_consensus_anomaly_score"), n("cross_layer_anomaly_score")
     told, fusion = S.as_double(_yes(df, "notify_gcc")), n("fusion_confidence")
-    together = S.clip(S.weighted([(0.25, fusion), (0.20, risk), (0.20, swarm), (0.20, many), (0.10, cross), (0.05, told)]),
+    together = S.bounded(S.weighted([(0.25, fusion), (0.20, risk), (0.20, swarm), (0.20, many), (0.10, cross), (0.05, told)]),
                       0.001, 0.999)
-    alone = S.clip(S.weighted([(0.30, fusion), (0.25, risk), (0.20, 1.0 - many), (0.10, 1.0 - swarm), (0.10, told),
+    alone = S.bounded(S.weighted([(0.30, fusion), (0.25, risk), (0.20, 1.0 - many), (0.10, 1.0 - swarm), (0.10, told),
                                (0.05, cross)]), 0.001, 0.999)
     a, b = PRIOR_ISOLATED * alone, PRIOR_COORDINATED * together
     return df.withColumns({"bayes_p_isolated": a / (b + a + S.EPS), "bayes_p_coordinated": b / (b + a + S.EPS)})
@@ -117,8 +122,8 @@ def coordinate(detection: DataFrame, response: DataFrame, min_nodes: int = 3, mi
     merged = evidence(combine(detection, response).where(F.col("ts").isNotNull()))
     s = order_rows(merged, ["ts", "source_row_id"], ["node_id"], rows_per_task=rows_per_task)
     trusted = s.finish(beta_trust(s, s.rows, "positive_evidence", "negative_evidence")).drop("_pos")
-    near = recent_nodes(trusted, min_nodes, min_confidence, rows_per_global_task)
-    judged = hypotheses(near).withColumn("coordination_status", node_status())
+    recent = recent_nodes(detection.where(F.col("ts").isNotNull()), min_nodes, min_confidence, rows_per_global_task)
+    judged = hypotheses(trusted.join(recent, "source_row_id")).withColumn("coordination_status", node_status())
     acted = judged.withColumn("coordination_action", swarm_action())
     action = F.col("coordination_action")
     told = F.coalesce(F.col("notify_gcc"), F.lit(False)) | action.isin(

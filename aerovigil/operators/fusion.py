@@ -16,17 +16,23 @@ DOS_STRONG, DOS_MODERATE = 0.60, 0.30
 HYBRID_GATE, SIDE_GATE, SUSPICIOUS = 0.60, 0.30, 0.10
 
 EDGE_COLUMNS = ["gru_jam_score", "gru_jam_flag", "ae_jam_score", "ae_jam_flag", "edge_alarm"]
+FEATURE_COLUMNS = ["cross_layer_anomaly_score", "swarm_consensus_anomaly_score", "jam_threshold_score",
+                   "dos_threshold_score", "coordinated_flood_flag", "cross_layer_attack_flag", "unique_source_count",
+                   "src_ip_entropy", "noise_floor_drift_flag", "bit_error_rate", "snr_db"]
 GATEWAY_COLUMNS = ["jamming_conf_attack", "dos_conf_attack", "hybrid_conf_attack", "jamming_ae_flag",
                    "dos_ae_flag", "traffic_outlier"]
 
 
 def attach_scores(df: DataFrame, edge: DataFrame | None, gateway: DataFrame | None) -> DataFrame:
-    """Left-join both tiers' results by source_row_id; only columns the frame lacks; absent ones 0."""
+    """Left-join both tiers' results by source_row_id; only columns the frame lacks.
+
+    Every input of the fusion becomes a finite number here, absent ones 0; the steps below rely on it.
+    """
     for side, wanted in ((edge, EDGE_COLUMNS), (gateway, None)):
         if side is not None:
             new = [c for c in side.columns if c not in df.columns and (wanted is None or c in wanted)]
             df = df.join(side.select("source_row_id", *new), "source_row_id", "left")
-    return df.withColumns({c: S.to_number(S.with_default(df, c, 0.0)) for c in EDGE_COLUMNS + GATEWAY_COLUMNS})
+    return df.withColumns({c: S.to_number(S.with_default(df, c, 0.0)) for c in EDGE_COLUMNS + GATEWAY_COLUMNS + FEATURE_COLUMNS})
 
 
 def fusion_limits(df: DataFrame) -> dict:
@@ -46,30 +52,30 @@ def fusion_limits(df: DataFrame) -> dict:
 
 def risk_scores(df: DataFrame, limits: dict) -> DataFrame:
     """Unrounded risks in ``_jam``, ``_dos``, ``_hybrid``, ``_fusion`` and their rounded columns."""
-    col = lambda c: S.to_number(S.with_default(df, c, 0.0))
+    col = F.col
     over = lambda c, k: S.as_double(col(c) > limits[k])
     cross = over("cross_layer_anomaly_score", "cross")
-    unit = lambda c: S.clip(col(c), 0, 1)
+    unit = lambda c: S.bounded(col(c), 0, 1)
     out = df.withColumns({
-        "_jam": S.clip(S.weighted([
+        "_jam": S.bounded(S.weighted([
             (0.30, unit("jamming_conf_attack")), (0.20, col("edge_alarm")), (0.15, col("jamming_ae_flag")),
             (0.15, col("gru_jam_flag")), (0.10, over("jam_threshold_score", "jam")), (0.10, cross)]), 0, 1),
-        "_dos": S.clip(S.weighted([
+        "_dos": S.bounded(S.weighted([
             (0.30, unit("dos_conf_attack")), (0.20, col("traffic_outlier")), (0.15, col("dos_ae_flag")),
             (0.15, over("dos_threshold_score", "dos")), (0.10, over("swarm_consensus_anomaly_score", "swarm")),
             (0.10, col("coordinated_flood_flag"))]), 0, 1)})
     both = S.as_double((F.col("_jam") > 0.3) & (F.col("_dos") > 0.3))
-    out = out.withColumn("_hybrid", S.clip(S.weighted([
+    out = out.withColumn("_hybrid", S.bounded(S.weighted([
         (0.35, unit("hybrid_conf_attack")), (0.30, cross), (0.25, col("cross_layer_attack_flag")), (0.10, both)]), 0, 1))
-    out = out.withColumn("_fusion", S.clip(
+    out = out.withColumn("_fusion", S.bounded(
         F.greatest("_jam", "_dos", "_hybrid") + 0.05 * col("edge_alarm"), 0, 1))
     return out.withColumns({"jam_risk_score": F.round("_jam", 4), "dos_risk_score": F.round("_dos", 4),
                             "hybrid_risk_score": F.round("_hybrid", 4), "fusion_confidence": F.round("_fusion", 4)})
 
 
-def source_signals(df: DataFrame, limits: dict) -> tuple[Column, Column, Column]:
+def source_signals(limits: dict) -> tuple[Column, Column, Column]:
     """(many sources, high source entropy, flood is distributed)."""
-    col = lambda c: S.to_number(S.with_default(df, c, 0.0))
+    col = F.col
     many = (col("unique_source_count") > limits["sources"]) if limits["sources_vary"] else F.lit(False)
     high = (col("src_ip_entropy") > limits["entropy"]) if limits["entropy_varies"] else F.lit(False)
     if not (limits["sources_vary"] or limits["entropy_varies"]):
@@ -77,11 +83,11 @@ def source_signals(df: DataFrame, limits: dict) -> tuple[Column, Column, Column]
     return many, high, many | high
 
 
-def final_label(df: DataFrame, limits: dict) -> Column:
+def final_label(limits: dict) -> Column:
     """First matching rule; would-be hybrid rows go to the dominant side when truth knows no hybrid."""
     jam, dos, hybrid, fusion = F.col("_jam"), F.col("_dos"), F.col("_hybrid"), F.col("_fusion")
-    col = lambda c: S.to_number(S.with_default(df, c, 0.0))
-    _, _, spread = source_signals(df, limits)
+    col = F.col
+    _, _, spread = source_signals(limits)
     evidence = (col("cross_layer_anomaly_score") > limits["cross"]) | (col("cross_layer_attack_flag") >= 0.5)
     gate = (hybrid >= HYBRID_GATE) & (jam >= SIDE_GATE) & (dos >= SIDE_GATE) & evidence
     flood = F.when(spread, F.lit("DDOS")).otherwise(F.lit("DOS"))
@@ -97,9 +103,9 @@ def severity(attack: Column, run: Column, fusion: Column) -> Column:
                        (attack & (fusion >= 0.50), "MEDIUM")], "LOW")
 
 
-def reason_codes(df: DataFrame, limits: dict) -> Column:
-    col = lambda c: S.to_number(S.with_default(df, c, 0.0))
-    many, high, _ = source_signals(df, limits)
+def reason_codes(limits: dict) -> Column:
+    col = F.col
+    many, high, _ = source_signals(limits)
     return S.names_where([
         ("EDGE_ALARM", col("edge_alarm") == 1),
         ("GRU_JAM_ANOMALY", col("gru_jam_flag") == 1),
@@ -128,8 +134,8 @@ def fuse(df: DataFrame, edge: DataFrame | None = None, gateway: DataFrame | None
     base = attach_scores(df, edge, gateway)
     limits = limits or fusion_limits(base)
     scored = risk_scores(base, limits)
-    labelled = scored.withColumns({"final_label": final_label(scored, limits),
-                                   "detection_reason_codes": reason_codes(scored, limits)})
+    labelled = scored.withColumns({"final_label": final_label(limits),
+                                   "detection_reason_codes": reason_codes(limits)})
     s = order_rows(labelled, ["ts", "source_row_id"], ["node_id"], rows_per_task=rows_per_task)
     attack = F.col("final_label") != "NORMAL"
     out = s.finish(run_length(s, s.rows, attack, "consecutive_attack_count"))

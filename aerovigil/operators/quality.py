@@ -115,7 +115,7 @@ def check_quality(df: DataFrame, spike_limit: float = SPIKE_LIMIT) -> DataFrame:
              "consistency_flag": _inconsistent(df), "spike_flag": _spiking(stats, spike_limit)}
     marked = mark_duplicates(df).withColumns({
         **lists, **{f: S.flag(S.any_of([c for _, c in pairs])) for f, pairs in flags.items()}})
-    return marked.withColumn("quality_issue_score", S.clip(quality_score(), 0, 1))
+    return marked.withColumn("quality_issue_score", S.bounded(quality_score(), 0, 1))
 
 
 def quality_score() -> Column:

@@ -126,7 +126,7 @@ def reward(action: Column) -> Column:
     both = F.when((label == "HYBRID_ATTACK") & wanted, F.lit(1.0)).otherwise(F.lit(0.0))
     strain = (F.least(F.col("channel_occupancy_pct") / 100.0, F.lit(1.0))
               + F.least(F.col("error_response_rate"), F.lit(1.0)))
-    return S.clip(base + false_alarm + bonus + both + F.col("fusion_confidence") - strain, -5, 5)
+    return S.bounded(base + false_alarm + bonus + both + F.col("fusion_confidence") - strain, -5, 5)
 
 
 def _desired() -> Column:

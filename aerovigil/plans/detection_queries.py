@@ -145,7 +145,7 @@ def detection(spark, sf):
 
 @query("b21_risk_scores", f"""{DETECTION_CTE} select source_row_id, jam_risk_score, dos_risk_score, hybrid_risk_score, fusion_confidence from det""")
 def _(spark, sf):
-    t = _scored(spark, sf)
+    t = FU.attach_scores(_scored(spark, sf), None, None)
     return FU.risk_scores(t, FU.fusion_limits(t)).select(
         "source_row_id", "jam_risk_score", "dos_risk_score", "hybrid_risk_score", "fusion_confidence")
 
@@ -153,7 +153,8 @@ def _(spark, sf):
 @query("b22_distributed_flood", f"{DETECTION_CTE} select source_row_id, many as many_sources, high as high_entropy, spread as distributed from det")
 def _(spark, sf):
     t = _scored(spark, sf, "label", "unique_source_count", "src_ip_entropy", "traffic_outlier")
-    many, high, spread = FU.source_signals(t, FU.fusion_limits(t))
+    t = FU.attach_scores(t, None, None)
+    many, high, spread = FU.source_signals(FU.fusion_limits(t))
     return t.select("source_row_id", many.alias("many_sources"), high.alias("high_entropy"), spread.alias("distributed"))
 
 
@@ -175,8 +176,8 @@ REASONS_SQL = "concat_ws(',', " + ", ".join(f"case when {c} then '{n}' end" for
 
 @query("b25_reason_codes", f"{DETECTION_CTE} select source_row_id, {REASONS_SQL} as reasons from det")
 def _(spark, sf):
-    t = _scored(spark, sf)
-    return t.select("source_row_id", F.array_join(FU.reason_codes(t, FU.fusion_limits(t)), ",").alias("reasons"))
+    t = FU.attach_scores(_scored(spark, sf), None, None)
+    return t.select("source_row_id", F.array_join(FU.reason_codes(FU.fusion_limits(t)), ",").alias("reasons"))
 
 
 @query("e1_e2_e5_attach_scores", f"""{_S} select source_row_id, case when node_id like '%1' then edge_alarm else 0 end::double as edge_alarm,

@@ -8,6 +8,7 @@ from aerovigil.operators import series as SE
 from aerovigil.operators.ordered import order_rows
 from aerovigil.plans.detection_queries import DETECTION_CTE, detection
 from aerovigil.plans.registry import query
+from aerovigil.session import durable
 
 _WEAK = "((final_label = 'JAMMING' or edge_alarm = 1) and snr_db < 0)"
 _MIX = "final_label in ('JAMMING', 'HYBRID_ATTACK')"
@@ -52,7 +53,7 @@ RESPONSE_CTE = DETECTION_CTE.replace("with t as", "with recursive t as", 1) + f"
 
 
 def response(spark, sf):
-    return R.respond(detection(spark, sf))
+    return R.respond(durable(detection(spark, sf)))
 
 
 def _prepared(spark, sf):
@@ -65,7 +66,7 @@ def _prepared(spark, sf):
         'channel_occupancy_pct / 100', 'packet_delivery_ratio', 'half_open_connections / 20000', 'src_ip_entropy / 9', 'error_response_rate',
         'consecutive_attack_count / 20', 'sa', 'nm'))}) as state from resp""")
 def _(spark, sf):
-    d = _prepared(spark, sf)
+    d = durable(_prepared(spark, sf))
     r = R.respond(d).select("source_row_id", "signal_trust_after", "network_trust_before")
     v = d.join(r, "source_row_id").withColumn("v", R.state_vector(d))
     text = F.transform("v", lambda x: F.round(x * 10000 + 0.0001).cast("bigint").cast("string"))
@@ -92,7 +93,7 @@ def _(spark, sf):
 @query("h7_e9_action_values", f"""{DETECTION_CTE}, x as (select final_label, severity, idx, action, avg({_REWARD}) as v, count(*) as n from det, {_ACT} group by all)
     select final_label, severity, action, round(v, 6) as value, n as n_rows, row_number() over (partition by final_label, severity order by round(v, 9) desc, idx) = 1 as greedy from x""")
 def _(spark, sf):
-    v = R.action_values(_prepared(spark, sf))
+    v = durable(R.action_values(_prepared(spark, sf)))
     p = R.greedy_policy(v)
     return v.join(F.broadcast(p), ["final_label", "severity"]).select(
         "final_label", "severity", "action", F.round("value", 6).alias("value"), F.col("rows").alias("n_rows"),
@@ -124,7 +125,7 @@ def _(spark, sf):
 
 @query("b34_network_actions", f"{RESPONSE_CTE} select source_row_id, net_action_taken, alert_delivery_mode, policy_action from resp")
 def _(spark, sf):
-    d = _prepared(spark, sf)
+    d = durable(_prepared(spark, sf))
     p = R.greedy_policy(R.action_values(d))
     a = R.network_actions()
     return d.join(F.broadcast(p), ["final_label", "severity"]).select(

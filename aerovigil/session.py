@@ -26,7 +26,17 @@ def build_session(name: str = "aerovigil", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the wide feature projections rely on; safe to apply to any session.
+
+    HotSpot never JIT-compiles methods above 8000 bytes of bytecode. With this limit Spark splits
+    such stages into small functions instead of running one interpreted giant.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
 
 
 def durable(df: DataFrame) -> DataFrame:
