@@ -41,17 +41,25 @@ def out_of_range_fields(df: DataFrame) -> Column:
                        lambda e: F.concat(e["name"], F.lit("="), four_digits(e["value"])))
 
 
-def four_digits(c: Column) -> Column:
-    """Shortest text with four significant digits; exponent form below 1e-4 and from 1e4 on."""
-    sci = F.format_string("%.3e", c.cast("double"))
+def four_digits(value: Column) -> Column:
+    """Shortest text with four significant digits; exponent form below 1e-4 and from 1e4 on.
+
+    Ties go to the even digit. Rounding comes first, so that formatting has nothing left to round.
+    """
+    value = value.cast("double")
+    power = F.floor(F.log10(F.abs(value))).cast("int")
+    c = value
+    for e in range(-9, 16):
+        c = F.when(power == e, F.bround(value, 3 - e)).otherwise(c)
+    sci = F.format_string("%.3e", c)
     exponent = F.substring_index(sci, "e", -1).cast("int")
     mantissa = _trim_zeros(F.substring_index(sci, "e", 1))
-    fixed = S.decision([(exponent == e, "") for e in range(-4, 4)], "")
+    fixed = F.lit("")
     for e in range(-4, 4):
-        fixed = F.when(exponent == e, _trim_zeros(F.format_string(f"%.{3 - e}f", c.cast("double")))).otherwise(fixed)
+        fixed = F.when(exponent == e, _trim_zeros(F.format_string(f"%.{3 - e}f", c))).otherwise(fixed)
     exp_text = F.concat(F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
                         F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    return (F.when(c == 0, F.lit("0")).when((exponent < -4) | (exponent >= 4), F.concat(mantissa, F.lit("e"), exp_text))
+    return (F.when(value == 0, F.lit("0")).when((exponent < -4) | (exponent >= 4), F.concat(mantissa, F.lit("e"), exp_text))
             .otherwise(fixed))
 
 

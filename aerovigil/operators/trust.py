@@ -72,7 +72,7 @@ def _chunk_seeds(rows: DataFrame, s: OrderedRows, names: list[str], start: float
     schema = "node_id string, _chunk bigint, " + ", ".join(
         f"{n}_{k} double" for n in names for k in ("low", "high", "shift"))
 
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos", kind="stable")
         out = {"node_id": [key[0]], "_chunk": [key[1]]}
         for n in names:

@@ -82,7 +82,8 @@ def _(spark, sf):
 @query("d10_recent_nodes", f"{_CO} select source_row_id, coordinated_nodes, coordinated_node_count, together as coordinated_attack_detected, round(mf, 6) as multi_node_factor from e4")
 def _(spark, sf):
     # Small chunks, so that positions, halo rows and chunk joins are exercised on this data too.
-    n = C.recent_nodes(detection(spark, sf), rows_per_task=10_000)
+    d = durable(detection(spark, sf).select(*C.GLOBAL_ORDER, "final_label", "fusion_confidence"))
+    n = C.recent_nodes(d, rows_per_task=10_000)
     return n.select("source_row_id", F.array_join("coordinated_nodes", ",").alias("coordinated_nodes"), "coordinated_node_count",
                     "coordinated_attack_detected", F.round("multi_node_factor", 6).alias("multi_node_factor"))
 
