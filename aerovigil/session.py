@@ -33,8 +33,10 @@ def tune(spark: SparkSession) -> SparkSession:
     """Session settings the wide feature projections rely on; safe to apply to any session.
 
     HotSpot never JIT-compiles methods above 8000 bytes of bytecode. With this limit Spark splits
-    such stages into small functions instead of running one interpreted giant.
+    such stages into small functions instead of running one interpreted giant. Timestamps without a
+    zone are read as UTC.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
