@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,3 +78,22 @@ def components(edges: DataFrame) -> DataFrame:
         seen = after
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int) -> bytes:
+    """A bit map of 2^bits bits, packed, set where the low bits of a long column fall; its size does not grow with ``keys``."""
+    width = bits - 6
+
+    def mark(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << width, bool)
+        for part in parts:
+            flags[part.column("at").to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(flags).tobytes()])],
+                                         ["block", "flags"])
+
+    low = keys.select(F.col(column).bitwiseAND((1 << bits) - 1).alias("low")).distinct()
+    at = low.select(F.shiftright("low", width).cast("int").alias("block"), F.col("low").bitwiseAND((1 << width) - 1).alias("at"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in at.groupBy("block").applyInArrow(mark, "block int, flags binary").collect():
+        out[r.block << (width - 3):(r.block + 1) << (width - 3)] = np.frombuffer(r.flags, np.uint8)
+    return out.tobytes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerovigil.llm import decontaminate, jaccard, packing, quality, secrets
+from aerovigil.llm import decontaminate, jaccard, packing, quality, repeats, secrets
 from aerovigil.llm.textkit import table
 from aerovigil.session import tune
 
@@ -75,3 +75,8 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query()
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.strip(table(spark, sf_dir, "documents"))
