@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerovigil.llm import decontaminate, jaccard, packing, quality, repeats, secrets
+from aerovigil.llm import decontaminate, jaccard, language, packing, quality, repeats, secrets, sharding, toxicity
 from aerovigil.llm.textkit import table
 from aerovigil.session import tune
 
@@ -80,3 +80,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.strip(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 40)
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs, folds=4, held=2), keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(quality.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", folds=5, held=0)
+    scored = toxicity.score(docs, model, "score", keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(quality.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
