@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerovigil.llm import decontaminate, jaccard, language, packing, quality, repeats, secrets, sharding, toxicity
+from aerovigil.llm import decontaminate, jaccard, language, neighbours, packing, quality, repeats, secrets, sharding, toxicity
 from aerovigil.llm.textkit import table
 from aerovigil.session import tune
 
@@ -101,3 +101,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, model, "score", keep=["doc_id"])
     return scored.select("doc_id", F.coalesce(quality.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.filter(F.pmod("vec_id", F.lit(50)) == 0), k=5)
