@@ -69,7 +69,7 @@ def _lists(values: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def merge(lists: DataFrame, most: int) -> DataFrame:
-    """The ``most`` best distinct v of each u over all its rows; of equal (u, v) one that is not fresh wins."""
+    """The ``most`` best distinct v of each u over all its rows; equal (u, v) are fresh only if all are, and keep the best score."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, "u"):
             v, size = _flat(part.column("v"))
@@ -77,9 +77,9 @@ def merge(lists: DataFrame, most: int) -> DataFrame:
             u = np.repeat(part.column("u").to_numpy(), size)
             order = np.lexsort((fresh, v, u))
             u, v, s, fresh = u[order], v[order], s[order], fresh[order]
-            best = np.ones(len(u), bool)
-            best[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-            u, v, s, fresh = u[best], v[best], s[best], fresh[best]
+            one = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))) if len(u) else np.empty(0, np.int64)
+            u, v, fresh = u[one], v[one], fresh[one]
+            s = np.maximum.reduceat(s, one) if len(one) else s
             order = np.lexsort((v, -s, u))
             u, v, s, fresh = u[order], v[order], s[order], fresh[order]
             first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.empty(0, np.int64)
@@ -283,7 +283,8 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, total: int,
     links = both_ways(graph, points, degree).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
 
     def first(rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("q").alias("u"), F.col("starts").alias("v"), F.transform("starts", lambda x: F.lit(-2.0).cast("float")).alias("s"),
+        known = F.transform("starts", lambda x: F.when(x == F.col("q"), 1.0).otherwise(-2.0).cast("float"))
+        return rows.select(F.col("q").alias("u"), F.col("starts").alias("v"), known.alias("s"),
                            F.transform("starts", lambda x: F.lit(True)).alias("fresh"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
