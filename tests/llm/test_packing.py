@@ -9,7 +9,8 @@ from aerovigil.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", None, "  \n\t ", "Hello, world! It's 3.14 o'clock\x0b\x0cand more space", "naïve ＡＢＣ é Ⅷ ﬁ Σας ΟΔΟΣ",
-         "<|endoftext|> a<|startoftext|>b", "x" * 5000, "word " * 3000, "日本語 テキスト 🙂👍🏽", "a'll 've ''s 't's", "İstanbul ſ K"]
+         "<|endoftext|> a<|startoftext|>b", "x" * 5000, "word " * 3000, "日本語 テキスト 🙂👍🏽", "a'll 've ''s 't's", "İstanbul ſ K", "ÉTÉ!! été!! Été, 3×4÷2. é×, ÷é, Ñ%ñ ŒUVRE-œuvre e\u0301, =\u0338 a=\u0338b ,\u0301x",
+         "12.5% a1b2-c3 --- ...!!! (nested) {x}[y] 'tis o'er-'s", "Ǆ ǅ ß ẞ straße; ĳ Ŀ ŀ, ŉ."]
 
 
 def ids_of(text):
