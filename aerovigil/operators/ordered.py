@@ -15,31 +15,38 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from aerovigil.session import SMALL_SIDE_ROWS, durable
+from aerovigil.functions.joins import join_keys
+from aerovigil.session import SMALL_SIDE_ROWS, durable, small_side
 
 ROWS_PER_TASK = 1_000_000
+MOST_RANGES = 10_000
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def add_positions(df: DataFrame, order: list[str], keys: list[str] | None = None,
                   rows_per_partition: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
-    """Exact 1-based ``_pos`` of every row in (keys, order), without gathering a key in one task."""
+    """Exact 1-based ``_pos`` of every row in (keys, order), without gathering a key in one task.
+
+    One exchange: rows are ranged, sorted and written with a number that rises within each range. A small table of the first
+    number and the rows before each (key, range) turns it into the position. Ranges are sorted with spilling, so their number
+    has an upper limit.
+    """
     keys = keys or []
     rows = df.count() if rows is None else rows
-    partitions = max(1, -(-rows // rows_per_partition))
-    ranged = durable(df.repartitionByRange(partitions, *keys, *order)
-                     .withColumn("_part", F.spark_partition_id()))
+    partitions = min(max(1, -(-rows // rows_per_partition)), MOST_RANGES)
+    ranged = durable(df.repartitionByRange(partitions, *keys, *order).sortWithinPartitions(*keys, *order)
+                     .withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
     group = [*keys, "_part"]
-    sizes = ranged.groupBy(*group).agg(F.count("*").alias("_size"))
+    sizes = ranged.groupBy(*group).agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
     before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part")
-    starts = sizes.select(*group, F.coalesce(
-        F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    # One row per (key, partition): at most one more than partitions plus keys.
-    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    return (numbered.join(starts, group)
-            .withColumn("_pos", F.col("_start") + F.col("_rn"))
-            .drop("_part", "_rn", "_start"))
+    # One row per (key, range): at most one more than ranges plus keys.
+    starts = sizes.select(*group, (F.coalesce(
+        F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
+    return (join_keys(ranged, small_side(starts), group)
+            .withColumn("_pos", F.col("_at") + F.col("_shift"))
+            .drop("_at", "_part", "_shift"))
 
 
 @dataclass(frozen=True)
@@ -73,7 +80,7 @@ class OrderedRows:
                    .orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
         carry = totals.select(*self.group, *[
             _AGG[k](n).over(earlier).alias(f"_carry_{n}") for n, (k, _) in own.items()])
-        joined = local.join(carry, self.group, "left")
+        joined = join_keys(local, carry, self.group, "left")
         merged = {}
         for n, (k, _) in own.items():
             here, past = F.col(n), F.col(f"_carry_{n}")
@@ -94,7 +101,7 @@ class OrderedRows:
         own = df.where(~F.col("_halo")) if self.chunked else df
         if not self.keys:
             return df.crossJoin(F.broadcast(own.agg(*[c.alias(n) for n, c in specs.items()])))
-        return df.join(own.groupBy(*self.keys).agg(*[c.alias(n) for n, c in specs.items()]), self.keys)
+        return join_keys(df, own.groupBy(*self.keys).agg(*[c.alias(n) for n, c in specs.items()]), self.keys)
 
     def finish(self, df: DataFrame) -> DataFrame:
         """Drop repeated rows and helper columns."""
@@ -124,11 +131,11 @@ def order_rows(df: DataFrame, order: list[str], keys: list[str] | None = None, *
     names = large.select(*keys)
     if totals[0] <= SMALL_SIDE_ROWS:
         names = F.broadcast(names)
-    ordinary = df.join(names, keys, "left_anti")
+    ordinary = join_keys(df, names, keys, "left_anti")
     ordinary = (ordinary
                 .withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
                 .withColumn("_chunk", F.lit(0).cast("bigint")).withColumn("_halo", F.lit(False)))
-    heavy = _chunks(df.join(names, keys, "left_semi"), order, keys, halo, rows_per_task, totals[1])
+    heavy = _chunks(join_keys(df, names, keys, "left_semi"), order, keys, halo, rows_per_task, totals[1])
     return OrderedRows(ordinary.unionByName(heavy), keys, order, True)
 
 

@@ -9,7 +9,7 @@ from aerovigil.constants import (ALL_METRICS, BOUNDS, CONSISTENCY_RULES, DOS_MET
                                  ESSENTIAL_GATEWAY, JAM_METRICS, QUALITY_WEIGHTS, RATIO_COLUMNS,
                                  ZERO_FILLED_COUNTS)
 from aerovigil.functions import scalars as S
-from aerovigil.operators.quantiles import exact_quantiles
+from aerovigil.operators.quantiles import exact_quantiles, present
 from aerovigil.session import durable
 
 SPIKE_LIMIT = 4.0
@@ -153,7 +153,7 @@ def impute(df: DataFrame, medians: dict[str, float | None] | None = None) -> Dat
 
 def imputation_medians(df: DataFrame, metrics: list[str]) -> dict[str, float | None]:
     """Medians of the metrics that have gaps; one counting pass finds them."""
-    row = df.agg(F.count("*").alias("rows"), *[F.count(m).alias(m) for m in metrics]).first()
+    row = df.agg(F.count("*").alias("rows"), *[F.count(present(F.col(m))).alias(m) for m in metrics]).first()
     gaps = [m for m in metrics if row[m] < row["rows"]]
     return exact_quantiles(df, {m: (F.col(m), 0.5) for m in gaps}, rows=row["rows"])
 

@@ -1,26 +1,31 @@
 """Exact interpolated quantiles for tables and groups of any size.
 
-Small inputs use Spark's exact ``percentile``, whose memory grows with the number of distinct
-values. Above ``direct_cells`` values, an approximate quantile sketch brackets each target rank,
+NaN and null count as missing, at any size. Small inputs use Spark's exact ``percentile``, whose memory grows with the number of
+distinct values. Above ``direct_cells`` values, an approximate quantile sketch brackets each target rank,
 counts prove that the rank lies inside the bracket, and the bracket is narrowed until the values
 strictly inside it are few enough to be read. Every step is a partially aggregated group-by.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerovigil.functions.joins import join_keys
 from aerovigil.functions.scalars import to_number
 from aerovigil.session import durable, small_side
 
-DIRECT_CELLS = 20_000_000
+DIRECT_CELLS = 4_000_000
 INSIDE_VALUES = 100_000
 _ACCURACY = 10_000
 
 
+def present(c: Column) -> Column:
+    """The value as a double; null where it is missing."""
+    value = c.cast("double")
+    return F.when(~F.isnan(value), value + 0.0)
+
+
 def exact_quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]], *,
                     direct_cells: int = DIRECT_CELLS, inside: int = INSIDE_VALUES,
                     rows: int | None = None) -> dict[str, float | None]:
@@ -35,7 +40,7 @@ def exact_quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]], *,
             by_value.setdefault(str(c), (c, []))[1].append((name, q))
         aggs, layout = [], []
         for i, (c, wanted) in enumerate(by_value.values()):
-            aggs.append(F.percentile(c, F.array(*[F.lit(float(q)) for _, q in wanted])).alias(f"p{i}"))
+            aggs.append(F.percentile(present(c), F.array(*[F.lit(float(q)) for _, q in wanted])).alias(f"p{i}"))
             layout.append([n for n, _ in wanted])
         row = df.agg(*aggs).first()
         return {n: (row[i][j] if row[i] is not None else None)
@@ -54,34 +59,34 @@ def normal_quantiles(df: DataFrame, specs: dict[str, tuple[str, float]], label:
     Absent columns and columns without a value give 0. ``extra`` aggregates over all rows ride along
     with the counting pass and are returned under their names.
     """
-    present = {n: s for n, s in specs.items() if s[0] in df.columns}
+    there = {n: s for n, s in specs.items() if s[0] in df.columns}
     extra = extra or {}
     normal = (F.col(label) == "normal") if label in df.columns else F.lit(False)
     row = df.agg(F.count("*").alias("_rows"), F.count_if(normal).alias("_normals"),
                  *[c.alias(n) for n, c in extra.items()]).first()
     few = row["_normals"] <= 10
     found = exact_quantiles(df if few else df.where(normal),
-                            {n: (to_number(F.col(c), None), q) for n, (c, q) in present.items()},
+                            {n: (to_number(F.col(c), None), q) for n, (c, q) in there.items()},
                             rows=row["_rows"] if few else row["_normals"], **options)
     return {**{n: float(found.get(n) or 0.0) for n in specs}, **{n: row[n] for n in extra}}
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, float]], *,
                       rows_per_task: int = 1_000_000, inside: int = INSIDE_VALUES) -> DataFrame:
-    """Exact quantiles per group; groups beyond ``rows_per_task`` rows use rank selection."""
+    """Exact quantiles per group; groups beyond ``rows_per_task`` values use rank selection."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    large = sizes.where(F.col("_rows") > rows_per_task).select(*keys)
-    direct = [F.percentile(c, F.lit(float(q))).alias(n) for n, (c, q) in specs.items()]
+    large = sizes.where(F.col("_rows") * len(specs) > rows_per_task).select(*keys)
+    direct = [F.percentile(present(F.col(c)), F.lit(float(q))).alias(n) for n, (c, q) in specs.items()]
     if large.isEmpty():
         return df.groupBy(*keys).agg(*direct)
-    ordinary = df.join(small_side(large), keys, "left_anti").groupBy(*keys).agg(*direct)
-    long = df.join(small_side(large), keys, "left_semi").select(*keys, F.explode(F.array(*[
+    ordinary = join_keys(df, small_side(large), keys, "left_anti").groupBy(*keys).agg(*direct)
+    long = join_keys(df, small_side(large), keys, "left_semi").select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("metric"), F.lit(float(q)).alias("q"), F.col(c).cast("double").alias("v"))
         for n, (c, q) in specs.items()])).alias("x")).select(*keys, "x.*")
     chosen = _select_ranks(long, [*keys, "metric"], inside)
     heavy = chosen.groupBy(*keys).agg(*[
         F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in specs])
-    return ordinary.unionByName(heavy)
+    return ordinary.unionByName(join_keys(large, heavy, keys, "left"))  # a group without any value stays, as null
 
 
 def grouped_median(df: DataFrame, keys: list[str], metrics: list[str], **options) -> DataFrame:
@@ -102,7 +107,7 @@ def _select_ranks(long: DataFrame, keys: list[str], inside: int) -> DataFrame:
             break
         # Sketch the bracket, take values a little below k1 and above k2, keep them only if counts agree.
         slack = 2.0 / _ACCURACY
-        sketch = (data.drop("q").join(small_side(wide), keys).where((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")))
+        sketch = (join_keys(data.drop("q"), small_side(wide.drop("q")), keys).where((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")))
                   .groupBy(*keys).agg(F.percentile_approx(
                       "v", F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)]), _ACCURACY).alias("grid")))
         below = F.col("below") + F.col("at_lo")
@@ -111,7 +116,7 @@ def _select_ranks(long: DataFrame, keys: list[str], inside: int) -> DataFrame:
         upper = F.ceil(F.least((F.col("k2") - below) / width + slack, F.lit(1.0)) * _GRID).cast("int")
         lower = F.least(lower, F.lit(_GRID))
         upper = F.greatest(upper, F.lit(0))
-        proposal = wide.join(sketch, keys).select(
+        proposal = join_keys(wide, sketch, keys).select(
             *keys, "q", "n", "rank", "k1", "k2",
             F.when(F.col("k1") < below, F.col("lo")).otherwise(F.element_at("grid", lower + 1)).alias("lo"),
             F.when(F.col("k2") >= below + width, F.col("hi")).otherwise(F.element_at("grid", upper + 1)).alias("hi"))
@@ -119,13 +124,13 @@ def _select_ranks(long: DataFrame, keys: list[str], inside: int) -> DataFrame:
         sound = (F.col("below") <= F.col("k1")) & (
             F.col("below") + F.col("at_lo") + F.col("interior") + F.col("at_hi") > F.col("k2"))
         improved = checked.where(sound)
-        kept = counted.join(improved.select(*keys), keys, "left_anti")
+        kept = join_keys(counted, improved.select(*keys), keys, "left_anti")
         counted = durable(kept.unionByName(improved.select(*kept.columns)))
     else:
         raise RuntimeError("quantile bracket did not converge")
-    values = (data.drop("q").join(small_side(counted), keys).where((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")))
+    values = (join_keys(data.drop("q"), small_side(counted.drop("q")), keys).where((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")))
               .groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("mid")))
-    full = counted.join(values, keys, "left")
+    full = join_keys(counted, values, keys, "left")
 
     def at(k: Column) -> Column:
         offset = k - F.col("below")
@@ -143,9 +148,9 @@ _GRID = 1000
 
 def _count(data: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     base = state.select(*keys, "q", "n", "rank", "k1", "k2", "lo", "hi")
-    counts = (data.drop("q").join(small_side(base), keys).groupBy(*keys).agg(
+    counts = (join_keys(data.drop("q"), small_side(base.drop("q")), keys).groupBy(*keys).agg(
         F.count_if(F.col("v") < F.col("lo")).alias("below"),
         F.count_if(F.col("v") == F.col("lo")).alias("at_lo"),
         F.count_if((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))).alias("interior"),
         F.count_if((F.col("v") == F.col("hi")) & (F.col("hi") > F.col("lo"))).alias("at_hi")))
-    return base.join(counts, keys)
+    return join_keys(base, counts, keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from aerovigil import constants as K
 from aerovigil.functions import scalars as S
+from aerovigil.operators import series
 from aerovigil.operators.ordered import ROWS_PER_TASK, order_rows
 from aerovigil.operators.trust import clamped_trust
 
@@ -80,6 +81,19 @@ def trust_steps() -> dict[str, tuple[Column, Column]]:
             "network": (F.when(_flooded(), F.lit(-0.20)).otherwise(F.lit(0.0)), network)}
 
 
+def last_safe_state(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(source_row_id, safe): signal, channel and time of the node's latest row so far that the radio tier left alone.
+
+    Those are all rows but jamming, hybrid and suspicious ones; rows under a traffic attack count as safe.
+    """
+    alone = ~_is("JAMMING", "HYBRID_ATTACK", "SUSPICIOUS")
+    narrow = df.select("source_row_id", "node_id", "ts", "final_label", F.coalesce(S.with_default(df, "snr_db", None).cast("double"), F.lit(0.0)).alias("snr_db"),
+                       F.coalesce(S.with_default(df, "rssi_dbm", None).cast("double"), F.lit(-70.0)).alias("rssi_dbm"), F.lit("PRIMARY").alias("channel"))
+    s = order_rows(narrow, ["ts", "source_row_id"], ["node_id"], rows_per_task=rows_per_task)
+    fields = ["snr_db", "rssi_dbm", "channel", "ts"]
+    return s.finish(series.last_where(s, s.rows, alone, fields, "safe")).select("source_row_id", "safe")
+
+
 def radio_actions() -> dict[str, Column]:
     attack, watch = _is("JAMMING", "HYBRID_ATTACK"), _is("SUSPICIOUS")
     hard, soft = attack & _high(), attack & ~_high()

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerovigil.functions.joins import join_keys
 from aerovigil.operators.ordered import ROWS_PER_TASK, OrderedRows, order_rows
 
 # Prior of the Beta trust.
@@ -48,7 +49,7 @@ def clamped_trust(df: DataFrame, channels: dict[str, tuple[Column, Column]], sta
     rows = s.rows.select("source_row_id", *s.group, "_pos", *[f"{n}_{i}" for n in names for i in (0, 1)])
     if s.chunked:
         seeds = _chunk_seeds(rows, s, names, start)
-        rows = rows.join(seeds, s.group)
+        rows = join_keys(rows, seeds, s.group)
     else:
         rows = rows.withColumns({f"{n}_start": F.lit(float(start)) for n in names})
     schema = "source_row_id bigint, " + ", ".join(f"{n}_{k} double" for n in names for k in ("before", "middle", "after"))

@@ -4,8 +4,6 @@ from pyspark.sql import functions as F
 
 from aerovigil import constants as K
 from aerovigil.operators import response as R
-from aerovigil.operators import series as SE
-from aerovigil.operators.ordered import order_rows
 from aerovigil.plans.detection_queries import DETECTION_CTE, detection
 from aerovigil.plans.registry import query
 from aerovigil.session import durable
@@ -145,13 +143,11 @@ def _(spark, sf):
 
 
 @query("d22_last_safe_state", f"""{DETECTION_CTE}, o as (select *, row_number() over (partition by node_id order by ts, source_row_id) as rn from det),
-    l as (select *, max(case when final_label = 'NORMAL' then rn end) over (partition by node_id order by ts, source_row_id) as safe from o)
-    select l.source_row_id, s.snr_db as snr_db, s.rssi_dbm as rssi_dbm, strftime(s.ts, '%Y-%m-%d') as safe_day from l left join o s on s.node_id = l.node_id and s.rn = l.safe""")
+    l as (select *, max(case when final_label not in ('JAMMING', 'HYBRID_ATTACK', 'SUSPICIOUS') then rn end) over (partition by node_id order by ts, source_row_id) as safe from o)
+    select l.source_row_id, s.snr_db as snr_db, s.rssi_dbm as rssi_dbm, case when s.rn is not null then 'PRIMARY' end as channel, strftime(s.ts, '%Y-%m-%d') as safe_day from l left join o s on s.node_id = l.node_id and s.rn = l.safe""")
 def _(spark, sf):
-    d = detection(spark, sf).select("source_row_id", "node_id", "ts", "final_label", "snr_db", "rssi_dbm")
-    s = order_rows(d, ["ts", "source_row_id"], ["node_id"])
-    out = s.finish(SE.last_where(s, s.rows, F.col("final_label") == "NORMAL", ["snr_db", "rssi_dbm", "ts"], "safe"))
-    return out.select("source_row_id", "safe.snr_db", "safe.rssi_dbm", F.date_format("safe.ts", "yyyy-MM-dd").alias("safe_day"))
+    out = R.last_safe_state(detection(spark, sf).select("source_row_id", "node_id", "ts", "final_label", "snr_db", "rssi_dbm"))
+    return out.select("source_row_id", "safe.snr_db", "safe.rssi_dbm", "safe.channel", F.date_format("safe.ts", "yyyy-MM-dd").alias("safe_day"))
 
 
 def _b(c):

@@ -51,7 +51,7 @@ _CO = RESPONSE_CTE + f""",
 
 def _response(spark, sf):
     d = durable(detection(spark, sf))
-    return d, R.respond(d)
+    return d, durable(R.respond(d))
 
 
 def coordination(spark, sf):
@@ -129,7 +129,7 @@ _KPI = _CO + f""",
 
 def _batches(spark, sf):
     d, r = _response(spark, sf)
-    return M.kpi_batches(d, r, C.coordinate(d, r), rows_per_partition=10_000)
+    return M.kpi_batches(d, r, durable(C.coordinate(d, r)), rows_per_partition=10_000)
 
 
 @query("c18_kpi_batches", f"{_KPI} select batch, batch_start_row, batch_end_row, {', '.join(M.KPIS)} from b1")

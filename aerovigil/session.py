@@ -57,9 +57,28 @@ def small_side(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder (a temporary one where none is set)."""
+    """A fresh path under the folder of ``spark.checkpoint.dir``, which all executors must share.
+
+    Only a local session may do without the setting; it then uses a temporary folder of its own.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                                 or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(folder)
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the stage tables that ``frames`` read; a frame that reads none is left alone."""
+    for df in frames:
+        spark = df.sparkSession
+        root = spark.sparkContext.getCheckpointDir()
+        for file in df.inputFiles():
+            folder = file.rsplit("/", 1)[0]
+            if root and "/stage-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
