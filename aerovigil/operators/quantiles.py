@@ -33,7 +33,7 @@ def exact_quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]], *,
     if not specs:
         return {}
     rows = df.count() if rows is None else rows
-    if rows * len(specs) <= direct_cells:
+    if rows * len({str(c) for c, _ in specs.values()}) <= direct_cells:
         # Values that are asked for at several q share one percentile state.
         by_value: dict[str, tuple[Column, list[tuple[str, float]]]] = {}
         for name, (c, q) in specs.items():

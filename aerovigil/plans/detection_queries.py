@@ -242,10 +242,23 @@ def _(spark, sf):
     return p.select("label", "feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max")
 
 
-@query("c25_mutual_information")
+_MI_NAMES = ["snr_db", "packets_per_second", "cca_failure_count", "unique_source_count", "jamming_conf_attack", "dos_conf_attack"]
+
+
+def mi_sql(names: list[str]) -> str:
+    """CTEs ending in ``mi(feature, mi)``: 32 equal-frequency bins per feature against the label, in nats."""
+    grid = ", ".join(f"{i / 32}::double" for i in range(1, 32))
+    return f"""{_S}, x as ({' union all '.join(f"select '{c}' as feature, cast({c} as double) as v, label from t" for c in names)}),
+        q as (select feature, list_distinct(quantile_disc(v, [{grid}])) as edges from x group by 1),
+        b as (select x.feature, len(list_filter(edges, lambda e: v > e)) as bin, label, count(*) as n from x join q on x.feature = q.feature group by all),
+        g as (select *, sum(n) over (partition by feature, bin) as nb, sum(n) over (partition by feature, label) as nl, sum(n) over (partition by feature) as total from b),
+        mi as (select feature, sum(n / total * ln(n * total / (nb * nl))) as mi from g group by 1)"""
+
+
+@query("c25_mutual_information", f"{mi_sql(_MI_NAMES)} select feature, round(mi + 1.23e-9, 8) as mi from mi")
 def _(spark, sf):
-    names = ["snr_db", "packets_per_second", "cca_failure_count", "unique_source_count", "jamming_conf_attack", "dos_conf_attack"]
-    return mutual_information(telemetry(spark, sf, "label", *names, scores=True), names)
+    mi = mutual_information(telemetry(spark, sf, "label", *_MI_NAMES, scores=True), _MI_NAMES)
+    return mi.select("feature", F.round(F.col("mi") + 1.23e-9, 8).alias("mi"))
 
 
 @query("g3_top_features", f"""{_S}, c as (select label, cast(cca_failure_count as integer) as v, count(*) as n from t group by 1, 2) select v as cca_failure_count, sum(n)::bigint as n

@@ -98,9 +98,20 @@ def _(spark, sf):
         (F.col("action") == F.col("policy_action")).alias("greedy"))
 
 
-@query("h7_discounted_values")
+# 300 sweeps over the (label, severity) states; the best action's immediate value does not depend on the sweep.
+@query("h7_discounted_values", DETECTION_CTE.replace("with ", "with recursive ", 1) + f""",
+    x as (select final_label, severity, idx, action, avg({_REWARD}) as v from det, {_ACT} group by all),
+    st as (select final_label || '|' || severity as s, max(v) as best from x group by 1),
+    mv as (select lag(final_label || '|' || severity) over (partition by node_id order by ts, source_row_id) as f, final_label || '|' || severity as g from det),
+    ch as (select f, g, count(*) / sum(count(*)) over (partition by f) as p from mv where f is not null group by 1, 2),
+    w as (select 0 as i, s, 0::double as v from st union all
+        select w.i + 1, st.s, any_value(st.best) + 0.95::double * sum(coalesce(ch.p, 0) * w.v) from w cross join st left join ch on ch.f = st.s and ch.g = w.s where w.i < 300 group by w.i, st.s),
+    later as (select st.s, sum(coalesce(ch.p, 0) * w.v) as v from st cross join (select * from w where i = 300) w left join ch on ch.f = st.s and ch.g = w.s group by 1)
+    select x.final_label, x.severity, x.idx as action_index, x.action, round(x.v + 0.95::double * later.v + 1.23e-7, 5) as value
+    from x join later on later.s = x.final_label || '|' || x.severity""")
 def _(spark, sf):
-    return R.discounted_values(_prepared(spark, sf))
+    v = R.discounted_values(durable(_prepared(spark, sf)))
+    return v.withColumn("value", F.round(F.col("value") + 1.23e-7, 5))
 
 
 @query("b31_safety_rules", f"{RESPONSE_CTE} select source_row_id, safety_override, safety_constraint, safety_forced_action from resp")
