@@ -38,15 +38,16 @@ def test_normal_quantiles_fall_back_to_all_rows(spark):
     assert normal_quantiles(eleven, {"x": ("x", 0.5)})["x"] == 5.0
 
 
+@pytest.mark.parametrize("small_bucket", [1_000, 0])
 @pytest.mark.parametrize("scale", [0.15, 1.0, 5.0])
-def test_density_noise_against_brute_force(spark, scale):
+def test_density_noise_against_brute_force(spark, scale, small_bucket):
     """From one crowded blob to scattered points, with many exact copies."""
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, scale, (180, 3)), np.zeros((60, 3)), rng.uniform(-3, 3, (40, 3))])
     pdf = pd.DataFrame(x, columns=["a", "b", "c"])
     pdf["source_row_id"], pdf["node_id"] = np.arange(len(pdf)), [f"n{i % 5}" for i in range(len(pdf))]
     pdf["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(len(pdf)) % 3, unit="s")
-    got = density_outliers(spark.createDataFrame(pdf), metrics=["a", "b", "c"]).toPandas().set_index("source_row_id")
+    got = density_outliers(spark.createDataFrame(pdf), metrics=["a", "b", "c"], small_bucket=small_bucket).toPandas().set_index("source_row_id")
     for _, g in pdf.groupby("ts"):
         p = g[["a", "b", "c"]].to_numpy()
         near = ((p[:, None] - p[None]) ** 2).sum(-1) <= 0.04
@@ -55,6 +56,22 @@ def test_density_noise_against_brute_force(spark, scale):
         assert got.loc[g["source_row_id"], "traffic_outlier"].tolist() == noise.astype(int).tolist()
 
 
+def test_dense_cell_beside_sparse_points_writes_no_pairs_with_it(spark, monkeypatch):
+    """A crowded cell is seen through boxes: what is written stays in proportion to the points."""
+    from aerovigil.operators import density
+    written = []
+    keep = density.durable
+    monkeypatch.setattr(density, "durable", lambda df: written.append(keep(df)) or written[-1])
+    rng = np.random.default_rng(8)
+    crowd = rng.uniform(0.0, 0.1, (20_000, 2))
+    lone = np.array([[0.25, 0.05], [0.29, 0.05], [0.05, 0.29], [5.0, 5.0]])
+    pdf = pd.DataFrame(np.concatenate([crowd, lone]), columns=["a", "b"])
+    pdf["source_row_id"], pdf["node_id"], pdf["ts"] = np.arange(len(pdf)), [f"n{i % 9}" for i in range(len(pdf))], pd.Timestamp("2024-01-01")
+    got = density_outliers(spark.createDataFrame(pdf), metrics=["a", "b"], small_bucket=0).toPandas().set_index("source_row_id")["dbscan_label"]
+    assert got.loc[20_000:].tolist() == [0, 0, 0, -1] and (got.loc[:19_999] == 0).all()
+    assert max(w.count() for w in written) <= len(pdf)
+
+
 def test_density_leaves_small_buckets_alone(spark):
     pdf = pd.DataFrame({"source_row_id": [1, 2], "node_id": ["a", "b"], "a": [0.0, 9.0],
                         "ts": [pd.Timestamp("2024-01-01"), pd.Timestamp("2024-01-01 00:00:09")]})
