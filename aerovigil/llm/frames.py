@@ -97,3 +97,13 @@ def bit_filter(keys: DataFrame, column: str, bits: int) -> bytes:
     for r in at.groupBy("block").applyInArrow(mark, "block int, flags binary").collect():
         out[r.block << (width - 3):(r.block + 1) << (width - 3)] = np.frombuffer(r.flags, np.uint8)
     return out.tobytes()
+
+
+def in_filter(rows: DataFrame, column: str, bits: int, sent, inside: bool) -> DataFrame:
+    """Rows whose long ``column`` falls on a set bit of the broadcast map ``sent``, or those that do not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(flags[batch.column(column).to_numpy() & ((1 << bits) - 1)] == inside))
+
+    return rows.mapInArrow(run, rows.schema)

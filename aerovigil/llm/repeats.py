@@ -6,8 +6,8 @@ equal offsets, so only suffixes that start at anchors are sorted, and only where
 
 1. Count anchor grams; keep bit maps of repeated and of very frequent grams.
 2. Each task sorts its anchor suffixes, merges equal ones and writes them front-coded (shared prefix length and the rest, the
-   left context likewise), one run per partition. Suffixes are ordered by the hash of their gram, then by bytes: partitions
-   are even without sampling, and a gram never spans two.
+   left context likewise), one run per partition. Suffixes are ordered by a second hash of their gram, then by bytes:
+   partitions are even without sampling, and a gram never spans two.
 3. Each partition merges its runs with a loser tree that keeps the common prefix with the last winner and compares on from
    there, which also yields the common prefix of neighbours. A window at offset o left of its anchor is repeated if the
    suffixes agree on length - o bytes and the left contexts on o bytes; no suffix is compared again.
@@ -31,15 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerovigil.llm import textkit as K
-from aerovigil.llm.frames import bit_filter
+from aerovigil.llm.frames import bit_filter, in_filter
 from aerovigil.session import durable
 
 LENGTH, GRAM = 400, 32
 FILTER_BITS = 24
 FREQUENT = 50_000          #: Occurrences of a gram above which its windows are counted instead of sorted in one task.
-RUN_BYTES = 24 << 20       #: Suffix bytes that a task holds before it writes sorted runs.
+SLICE_BYTES = 1 << 19      #: Text bytes whose windows are looked at together.
+RUN_BYTES = 10 << 20       #: Suffix bytes that a task holds before it writes sorted runs.
 PART_BYTES = 12 << 20      #: Suffix bytes aimed at for one partition.
-PAIRWISE = 24              #: Suffixes of one gram up to which pairs are compared; above, offsets are grouped.
+PAIRWISE = 96              #: Suffixes of one gram up to which pairs are compared; above, offsets are grouped.
 
 _OTHER = np.roll(np.arange(256, dtype=np.uint8) * np.uint8(167), 91)  # a second, independent byte code for 128-bit hashes
 
@@ -154,6 +155,17 @@ def merge(runs: list[Iterator]) -> Iterator[tuple[int, bytes, bytes, int, bytes]
             node //= 2
 
 
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges with inclusive ends, overlapping and adjacent ones merged."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def repeated_offsets(suffixes: list[bytes], lefts: list[bytes], times: list[int], common: list[int],
                      length: int) -> list[list[tuple[int, int]]]:
     """Offsets (from, to) of repeated windows for each suffix of one gram. ``common``: prefix shared with the one before, both
@@ -224,13 +236,14 @@ def _runs(texts: DataFrame, repeated, frequent, parts: int, length: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([encode_run(entries)], pa.binary())], ["part", "run"])
             held.clear()
 
-        for batch in K.slices(batches, "text"):
+        for batch in K.slices(batches, "text", SLICE_BYTES):
             data, offsets = K.utf8(batch.column("text"))
             row, anchor, first, last, code = anchors(data, offsets, length)
             slot = (code & mask).astype(np.int64)
             use = np.flatnonzero(often[slot].astype(bool) & ~hot[slot].astype(bool))
             t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
             raw = data.tobytes()
+            code = K.mix(code + np.uint64(1))  # anchors have the smallest hashes: spread them over all partitions
             for r, p, a, b, h in zip(row[use].tolist(), anchor[use].tolist(), first[use].tolist(), last[use].tolist(), code[use].tolist()):
                 key = (h.to_bytes(8, "big") + raw[p:b + length], raw[a:p])
                 found = held.get(key)
@@ -264,7 +277,7 @@ def _merged(runs: DataFrame, length: int) -> DataFrame:
         found = repeated_offsets([e[0][8:] for e in entries], [e[1] for e in entries], [e[2] for e in entries],
                                  [e[3] - 8 for e in entries], length)
         return [(x, y, p - b, p - a + length) for e, spans in zip(entries, found) if spans
-                for x, y, p in np.unique(np.frombuffer(b"".join(e[4]), "<i8").reshape(-1, 3), axis=0).tolist() for a, b in spans]
+                for x, y, p in np.unique(np.frombuffer(b"".join(e[4]), "<i8").reshape(-1, 3), axis=0).tolist() for a, b in union(spans)]
 
     names = ["t1", "t2", "lo", "hi"]
 
@@ -292,7 +305,7 @@ def _counted(texts: DataFrame, frequent, length: int) -> DataFrame:
     """The same ranges for very frequent grams, by counting hashes of their windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(np.frombuffer(frequent.value, np.uint8))
-        for batch in K.slices(batches, "text"):
+        for batch in K.slices(batches, "text", SLICE_BYTES):
             data, offsets = K.utf8(batch.column("text"))
             row, _, first, last, code = anchors(data, offsets, length)
             use = hot[(code & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)].astype(bool)
@@ -320,7 +333,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, text: str = "text", frequent
     texts = docs.select(F.col(text).alias("text"), *_hashes(text)).filter(F.octet_length("text") >= length)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, "text"):
+        for batch in K.slices(batches, "text", SLICE_BYTES):
             code, times = np.unique(anchors(*K.utf8(batch.column("text")), length)[4], return_counts=True)
             yield pa.RecordBatch.from_arrays([K.to_long(code), pa.array(times)], ["gram", "n"])
 
@@ -351,13 +364,8 @@ def strip(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(own, "t1", FILTER_BITS))
     each = own.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(flags[batch.column("t1").to_numpy() & ((1 << FILTER_BITS) - 1)]))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, "text"):
+        for batch in K.slices(batches, "text", SLICE_BYTES):
             rows = []
             for t, own_spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 raw, out, at, removed, n = t.encode(), [], 0, 0, 0
@@ -376,7 +384,7 @@ def strip(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), *columns], result.fieldNames())
 
     texts = plain.select("text", *_hashes("text"))
-    need = texts.mapInArrow(some, texts.schema)
+    need = in_filter(texts, "t1", FILTER_BITS, bits, True)
     result = T._parse_datatype_string("t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     done = need.join(each, ["t1", "t2"]).mapInArrow(cut, result)
     nothing = hashlib.sha256(b"").hexdigest()
