@@ -15,19 +15,23 @@ _RADIO = {"snr_db": 0.0, "noise_floor_dbm": -90.0, "bit_error_rate": 0.0, "packe
           "channel_occupancy_pct": 20.0}
 
 
-def traffic_sketch(df: DataFrame, seconds: float = 10.0, rows_per_task: int = 1_000_000) -> DataFrame:
-    """Mean, maximum and 95th percentile of the rates, distinct node pseudonyms, share of attacks."""
+def _rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
+def traffic_sketch(df: DataFrame, seconds: float = 10.0, rows_per_task: int = 1_000_000, digits: int | None = 2) -> DataFrame:
+    """Mean, maximum and 95th percentile of the rates, distinct node pseudonyms, share of attacks; ``digits`` None: unrounded."""
     keyed = df.select(S.bucket_start(F.col("ts"), seconds).alias("window_start"), "node_id", "final_label", *[
         F.coalesce(S.with_default(df, c, 0.0).cast("double"), F.lit(0.0)).alias(n) for n, c in _TRAFFIC.items()])
     attack = ~F.col("final_label").isin("NORMAL", "SUSPICIOUS")
     base = keyed.groupBy("window_start").agg(
         F.count("*").alias("total_windows"), F.count_if(attack).alias("attack_windows"),
-        *[F.round(f(n), 2).alias(f"{n}_{k}") for n in _TRAFFIC for k, f in (("mean", F.avg), ("max", F.max))])
+        *[_rounded(f(n), digits).alias(f"{n}_{k}") for n in _TRAFFIC for k, f in (("mean", F.avg), ("max", F.max))])
     sources = (keyed.select("window_start", pseudonym(F.col("node_id")).alias("source")).distinct()
                .groupBy("window_start").agg(F.count("*").alias("unique_sources_hashed")))
     upper = grouped_quantiles(keyed, ["window_start"], {f"{n}_p95": (n, 0.95) for n in _TRAFFIC},
                               rows_per_task=rows_per_task)
-    upper = upper.select("window_start", *[F.round(f"{n}_p95", 2).alias(f"{n}_p95") for n in _TRAFFIC])
+    upper = upper.select("window_start", *[_rounded(F.col(f"{n}_p95"), digits).alias(f"{n}_p95") for n in _TRAFFIC])
     return (base.join(sources, "window_start").join(upper, "window_start")
             .withColumn("attack_fraction", F.round(F.col("attack_windows") / F.col("total_windows"), 4)))
 
@@ -37,13 +41,13 @@ def channel_change(action: Column) -> Column:
     return action.rlike("CHANNEL|HOP|SWITCH")
 
 
-def radio_sketch(df: DataFrame, seconds: float = 10.0) -> DataFrame:
+def radio_sketch(df: DataFrame, seconds: float = 10.0, digits: int | None = 4) -> DataFrame:
     """Mean, population deviation, min and max of the radio metrics; jamming and channel events."""
     keyed = df.withColumn("window_start", S.bucket_start(F.col("ts"), seconds)).withColumns(
         {c: F.coalesce(S.with_default(df, c, d).cast("double"), F.lit(d)) for c, d in _RADIO.items()})
     return keyed.groupBy("window_start").agg(
         F.count("*").alias("total_windows"), F.count_if(F.col("final_label").isin("JAMMING", "HYBRID_ATTACK")).alias("jamming_windows"),
-        *[F.round(f(c), 4).alias(f"{c}_{k}") for c in _RADIO
+        *[_rounded(f(c), digits).alias(f"{c}_{k}") for c in _RADIO
           for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))],
         F.count_if(channel_change(S.with_default(df, "rf_action_taken", ""))).alias("channel_switch_events"),
         F.count_if(S.with_default(df, "lte_fallback_active", False)).alias("lte_fallback_events"))

@@ -303,29 +303,31 @@ def _sketch_input(spark, sf, *columns):
     return t.withColumn("final_label", F.upper("label"))
 
 
+# The constant keeps two-decimal percentiles and means off rounding ties.
+_OFF_TIE = 0.00012345
+_TRAFFIC = {"pps": "packets_per_second", "bps": "bytes_per_second", "syn_rate": "syn_packet_rate", "src_entropy": "src_ip_entropy"}
+
+
 @query("c22_traffic_sketch", f"""{_T}, k as (select *, epoch_us(ts) - epoch_us(ts) % {_MONTH}000000 as window_start, {_LABELS} as final_label from t)
     select window_start, count(*) as total_windows, count(*) filter (where final_label not in ('NORMAL', 'SUSPICIOUS')) as attack_windows, round(count(*) filter (where final_label not in ('NORMAL', 'SUSPICIOUS')) / count(*), 4) as attack_fraction,
-    count(distinct node_id) as unique_sources_hashed, {', '.join(f'round(max({c}), 2) as {n}_max, round(quantile_cont({c}, 0.95) + 0.00012345, 2) as {n}_p95' for n, c in (('pps', 'packets_per_second'), ('syn_rate', 'syn_packet_rate'), ('src_entropy', 'src_ip_entropy')))} from k group by 1""")
+    count(distinct node_id) as unique_sources_hashed, {', '.join(f'round({f} + {_OFF_TIE}, 2) as {n}_{k}' for n, c in _TRAFFIC.items() for k, f in (('mean', f'avg({c})'), ('max', f'max({c})'), ('p95', f'quantile_cont({c}, 0.95)')))} from k group by 1""")
 def _(spark, sf):
-    s = SK.traffic_sketch(_sketch_input(spark, sf, "packets_per_second", "bytes_per_second", "syn_packet_rate", "src_ip_entropy"), _MONTH)
-    # Percentiles of two-decimal values fall on rounding ties; ask for them again, away from the ties.
-    from aerovigil.operators.quantiles import grouped_quantiles
-    from aerovigil.functions.scalars import bucket_start
-    k = _sketch_input(spark, sf, "packets_per_second", "syn_packet_rate", "src_ip_entropy").withColumn("window_start", bucket_start(F.col("ts"), _MONTH))
-    q = grouped_quantiles(k, ["window_start"], {"a": ("packets_per_second", 0.95), "b": ("syn_packet_rate", 0.95), "c": ("src_ip_entropy", 0.95)})
-    shifted = {n: F.round(F.col(c) + 0.00012345, 2).alias(n) for n, c in (("pps_p95", "a"), ("syn_rate_p95", "b"), ("src_entropy_p95", "c"))}
-    return s.drop(*shifted).join(q.select("window_start", *shifted.values()), "window_start").select(
-        "window_start", "total_windows", "attack_windows", "attack_fraction", "unique_sources_hashed", "pps_max", "pps_p95",
-        "syn_rate_max", "syn_rate_p95", "src_entropy_max", "src_entropy_p95")
+    s = SK.traffic_sketch(_sketch_input(spark, sf, *_TRAFFIC.values()), _MONTH, digits=None)
+    rates = [f"{n}_{k}" for n in _TRAFFIC for k in ("mean", "max", "p95")]
+    return s.withColumns({c: F.round(F.col(c) + _OFF_TIE, 2) for c in rates})
+
+
+_RADIO = ("snr_db", "noise_floor_dbm", "bit_error_rate", "packet_delivery_ratio", "channel_occupancy_pct")
+_RADIO_OFF_TIE = 1.2345e-6
 
 
 @query("c23_radio_sketch", f"""{RESPONSE_CTE}, k as (select *, epoch_us(ts) - epoch_us(ts) % {_MONTH}000000 as window_start from resp)
     select window_start, count(*) as total_windows, count(*) filter (where final_label in ('JAMMING', 'HYBRID_ATTACK')) as jamming_windows,
-    {', '.join(f'round(stddev_pop({c}), 4) as {c}_std, round(min({c}), 4) as {c}_min, round(max({c}), 4) as {c}_max' for c in ('snr_db', 'noise_floor_dbm', 'bit_error_rate', 'packet_delivery_ratio', 'channel_occupancy_pct'))},
+    {', '.join(f'round({f}({c}) + {_RADIO_OFF_TIE}, 4) as {c}_{k}' for c in _RADIO for k, f in (('mean', 'avg'), ('std', 'stddev_pop'), ('min', 'min'), ('max', 'max')))},
     count(*) filter (where regexp_matches(rf_action_taken, 'CHANNEL|HOP|SWITCH')) as channel_switch_events, count(*) filter (where lte_fallback_active) as lte_fallback_events from k group by 1""")
 def _(spark, sf):
-    s = SK.radio_sketch(C.combine(*_response(spark, sf)), _MONTH)
-    return s.drop(*[c for c in s.columns if c.endswith("_mean")])
+    s = SK.radio_sketch(C.combine(*_response(spark, sf)), _MONTH, digits=None)
+    return s.withColumns({f"{c}_{k}": F.round(F.col(f"{c}_{k}") + _RADIO_OFF_TIE, 4) for c in _RADIO for k in ("mean", "std", "min", "max")})
 
 
 _SHAPE = B.BloomShape.for_capacity(1_000, 0.01)
