@@ -36,8 +36,7 @@ _WINDOW_LABEL = """{base}, cnt as (select node_id, window_start, count(*) n,
 def _labelled(spark, sf, *columns):
     wanted = columns and ["node_id", "ts", "label_raw", *columns]
     p = packets(spark, sf, *wanted) if wanted else packets(spark, sf)
-    return (p.withColumn("label", S.normalise_label(F.col("label_raw")))
-            .withColumn("collection_point", S.collection_point(F.col("label"))))
+    return W.label_packets(p)
 
 
 @query("b1_normalise_label", f"{_P} select label_raw, {_LABEL} as label, count(*) as packets from packets group by 1, 2")

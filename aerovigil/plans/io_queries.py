@@ -17,13 +17,13 @@ _T = f"with t as materialized ({telemetry_sql()})"
 _NAMES = {v: k for k, v in {**readers.CAPTURE_COLUMNS, **readers.CAPTURE_TEXT}.items()}
 
 
-def _capture(spark, sf, where="true", drop=()):
-    """The packets as a capture CSV folder with the original column names."""
+def _capture(spark, sf, where="true", drop=(), folder=None):
+    """The packets as a capture CSV folder with the original column names, a new one unless given."""
     p = packets(spark, sf).where(where)
     named = p.select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("frame.time_epoch"), F.col("label_raw").alias("Label"),
                      *[F.col(c).alias(_NAMES[c]) for c in p.columns if c in _NAMES and c not in drop])
-    path = shared_folder(spark, "capture")
-    named.write.option("header", True).csv(path)
+    path = folder or shared_folder(spark, "capture")
+    named.write.mode("append").option("header", True).csv(path)
     return path
 
 
@@ -49,6 +49,15 @@ def _(spark, sf):
                  F.count_if(F.lower(F.trim("label_raw")) == "normal").alias("normal_labels"))
 
 
+@query("a2_mixed_header_folder", f"""{_P} select count(*) as packets, count(case when packet_id % 2 = 0 then ip_ttl end) as with_ttl, round(sum(frame_len), 4) as bytes from p""")
+def _(spark, sf):
+    folder = shared_folder(spark, "capture-mixed")
+    _capture(spark, sf, "packet_id % 2 = 0", folder=folder)
+    _capture(spark, sf, "packet_id % 2 = 1", drop=("ip_ttl",), folder=folder)
+    c = readers.read_capture(spark, folder)
+    return c.agg(F.count("*").alias("packets"), F.count("ip_ttl").alias("with_ttl"), F.round(F.sum("frame_len"), 4).alias("bytes"))
+
+
 @query("a5_csv_sink", f"{_T} select label, count(*) as n, count(*) filter (where snr_db < 0) as nested_negative from t group by 1")
 def _(spark, sf):
     t = telemetry(spark, sf, "label", "snr_db").withColumn("sensor", F.struct("snr_db")).drop("snr_db")

@@ -22,18 +22,30 @@ def read_capture(spark: SparkSession, *paths: str, label: str = "Label", node: s
                  max_rows: int | None = None) -> DataFrame:
     """Packets of one or more CSV files or folders, by column name.
 
-    Every path is read with its own header; inside a folder all files must share one. Columns stay
-    text until they are parsed, so unparsable numbers become null rather than dropping the row.
+    Files are grouped by their header, so a folder may mix captures with different columns. Columns stay text until they are
+    parsed, so unparsable numbers become null rather than dropping the row.
     """
     if not paths:
         raise ValueError("at least one path is needed")
-    parts = [_one(spark.read.option("header", True).option("enforceSchema", False).csv(p), label, node) for p in paths]
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    parts = [_one(reader.csv(files), label, node) for p in paths for files in _alike(spark, p)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out.limit(max_rows) if max_rows is not None else out
 
 
+def _alike(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files under a path, grouped by their first line; a single file is not looked into."""
+    if len(spark.read.text(path).inputFiles()) < 2:
+        return [[path]]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                         F.monotonically_increasing_id().alias("at")).where("start = 0")
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    # One row per file; the driver lists the files of a read in any case.
+    return [sorted(r["files"]) for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()]
+
+
 def _one(raw: DataFrame, label: str, node: str) -> DataFrame:
     S.require_columns(raw, [label])
     numbers = [S.to_number(F.col(f"`{c}`"), None).alias(n) for c, n in CAPTURE_COLUMNS.items()
