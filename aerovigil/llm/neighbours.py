@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 from aerovigil.session import durable
 
 DEGREE, SAMPLE, PARTNERS = 24, 12, 6
-ROUNDS = 10             #: Most rounds of NN-descent.
-SETTLED = 0.02          #: Share of changed neighbours at which building ends.
+ROUNDS = 7              #: Most rounds of NN-descent.
+SETTLED = 0.05          #: Share of changed neighbours at which building ends.
 BEAM = 300
 RERANK = 64             #: Nodes per query scored again in double precision.
 
-_LIST = "u long, v array<int>, s array<float>, fresh array<boolean>"
+_LIST = "u long, v array<int>, s array<float>, fresh array<boolean>, code binary"
+_NAMES = ["u", "v", "s", "fresh", "code"]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -69,12 +70,18 @@ def _lists(values: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def merge(lists: DataFrame, most: int) -> DataFrame:
-    """The ``most`` best distinct v of each u over all its rows; equal (u, v) are fresh only if all are, and keep the best score."""
+    """The ``most`` best distinct v of each u over all its rows; equal (u, v) are fresh only if all are, and keep the best score.
+
+    ``code``, the packed vector of u, comes from any row that has it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, "u"):
             v, size = _flat(part.column("v"))
             s, fresh = _flat(part.column("s"))[0], _flat(part.column("fresh"))[0]
-            u = np.repeat(part.column("u").to_numpy(), size)
+            row = part.column("u").to_numpy()
+            u = np.repeat(row, size)
+            known = np.flatnonzero(part.column("code").is_valid().to_numpy(zero_copy_only=False))
+            code = dict(zip(row[known].tolist(), part.column("code").take(pa.array(known)).to_pylist()))
             order = np.lexsort((fresh, v, u))
             u, v, s, fresh = u[order], v[order], s[order], fresh[order]
             one = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))) if len(u) else np.empty(0, np.int64)
@@ -87,7 +94,7 @@ def merge(lists: DataFrame, most: int) -> DataFrame:
             keep = np.arange(len(u)) - np.repeat(first, size) < most
             size = np.minimum(size, most)
             yield pa.RecordBatch.from_arrays([pa.array(u[first]), _lists(v[keep], size, pa.int32()), _lists(s[keep], size, pa.float32()),
-                                              _lists(fresh[keep], size, pa.bool_())], ["u", "v", "s", "fresh"])
+                                              _lists(fresh[keep], size, pa.bool_()), pa.array([code.get(x) for x in u[first].tolist()], pa.binary())], _NAMES)
 
     return lists.repartition("u").sortWithinPartitions("u").mapInArrow(run, _LIST)
 
@@ -189,7 +196,7 @@ def _meetings(graph: DataFrame, sample: int, round_: int) -> tuple[DataFrame, Da
             u = np.repeat(batch.column("u").to_numpy(), size)
             if len(u):
                 fresh = fresh & ~chosen(fresh, u, v)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), batch.column("s"), _lists(fresh, size, pa.bool_())], ["u", "v", "s", "fresh"])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), batch.column("s"), _lists(fresh, size, pa.bool_()), batch.column("code")], _NAMES)
 
     return graph.mapInArrow(pairs, "centre long, member long, fresh boolean"), graph.mapInArrow(tried, _LIST)
 
@@ -229,7 +236,7 @@ def _local_join(meetings: DataFrame, codes: DataFrame, sample: int, partners: in
             if us:
                 size, s = np.concatenate(ns), np.concatenate(ss)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), _lists(np.concatenate(vs), size, pa.int32()), _lists(s, size, pa.float32()),
-                                                  _lists(np.ones(len(s), bool), size, pa.bool_())], ["u", "v", "s", "fresh"])
+                                                  _lists(np.ones(len(s), bool), size, pa.bool_()), pa.nulls(len(size), pa.binary())], _NAMES)
 
     met = meetings.join(codes, meetings.member == codes.node).select("centre", "member", "fresh", "worst", "code")
     return met.repartition("centre").sortWithinPartitions("centre").mapInArrow(run, _LIST)
@@ -244,14 +251,13 @@ def build(points: DataFrame, total: int, degree: int = DEGREE, sample: int = SAM
     else:
         start = F.transform(F.sequence(F.lit(0), F.lit(degree - 1)), lambda j: F.pmod(F.xxhash64(F.col("node"), j), F.lit(total)).cast("int"))
         start = F.filter(F.array_distinct(start), lambda x: x != F.col("node"))
-    graph = points.select(F.col("node").alias("u"), start.alias("v"))
-    graph = durable(graph.select("u", "v", F.transform("v", lambda x: F.lit(-2.0).cast("float")).alias("s"), F.transform("v", lambda x: F.lit(True)).alias("fresh")))
-    codes = points.select("node", "code")
+    graph = points.select(F.col("node").alias("u"), start.alias("v"), "code")
+    graph = durable(graph.select("u", "v", F.transform("v", lambda x: F.lit(-2.0).cast("float")).alias("s"), F.transform("v", lambda x: F.lit(True)).alias("fresh"), "code"))
+    most = 2 * degree if total <= 2 * degree else degree
     for k in range(rounds):
         meetings, tried = _meetings(graph, sample, k)
-        worst = graph.select(F.col("u").alias("w"), F.when(F.size("v") < degree, -3.0).otherwise(F.array_min("s")).cast("float").alias("worst"))
-        known = codes.join(worst, codes.node == worst.w).drop("w")
-        graph = durable(merge(tried.unionByName(_local_join(meetings, known, sample, partners)), max(degree, min(total - 1, 2 * degree)) if total <= 2 * degree else degree))
+        known = graph.select(F.col("u").alias("node"), "code", F.when(F.size("v") < degree, -3.0).otherwise(F.array_min("s")).cast("float").alias("worst"))
+        graph = durable(merge(tried.unionByName(_local_join(meetings, known, sample, partners)), most))
         changed = graph.agg(F.coalesce(F.sum(F.size(F.filter("fresh", lambda x: x))), F.lit(0))).first()[0]
         if changed <= settled * degree * total:
             break
@@ -261,7 +267,8 @@ def build(points: DataFrame, total: int, degree: int = DEGREE, sample: int = SAM
 def both_ways(graph: DataFrame, points: DataFrame, degree: int = DEGREE) -> DataFrame:
     """(node, v, codes): neighbours of each node in either direction with their packed vectors, partitioned by node."""
     one = graph.select("u", F.explode(F.arrays_zip("v", "s")).alias("e")).select("u", "e.v", "e.s")
-    back = one.select(F.col("v").cast("long").alias("u"), F.array(F.col("u").cast("int")).alias("v"), F.array("s").alias("s"), F.array(F.lit(False)).alias("fresh"))
+    back = one.select(F.col("v").cast("long").alias("u"), F.array(F.col("u").cast("int")).alias("v"), F.array("s").alias("s"), F.array(F.lit(False)).alias("fresh"),
+                      F.lit(None).cast("binary").alias("code"))
     linked = merge(graph.unionByName(back), 2 * degree)
     far = linked.select("u", F.explode("v").alias("v")).join(points.select(F.col("node").alias("v"), "code"), "v")
 
@@ -285,7 +292,7 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, total: int,
     def first(rows: DataFrame) -> DataFrame:
         known = F.transform("starts", lambda x: F.when(x == F.col("q"), 1.0).otherwise(-2.0).cast("float"))
         return rows.select(F.col("q").alias("u"), F.col("starts").alias("v"), known.alias("s"),
-                           F.transform("starts", lambda x: F.lit(True)).alias("fresh"))
+                           F.transform("starts", lambda x: F.lit(True)).alias("fresh"), "code")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,13 +317,13 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, total: int,
             cut = np.append(np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))), len(u)) if len(u) else np.zeros(1, np.int64)
             size = np.diff(cut)
             yield pa.RecordBatch.from_arrays([pa.array(u[cut[:-1]]), _lists(v, size, pa.int32()), _lists(s, size, pa.float32()),
-                                              _lists(np.ones(len(v), bool), size, pa.bool_())], ["u", "v", "s", "fresh"])
+                                              _lists(np.ones(len(v), bool), size, pa.bool_()), pa.nulls(len(size), pa.binary())], _NAMES)
 
     now = durable(first(queries))
     while now.filter(F.exists("fresh", lambda x: x)).limit(1).count():
         least = F.when(F.size("v") < beam, -3.0).otherwise(F.array_min("s")).cast("float")
-        open_ = now.select(F.col("u").alias("q"), least.alias("least"), F.explode(F.expr("filter(v, (x, i) -> fresh[i])")).alias("node"))
-        open_ = open_.withColumn("node", F.col("node").cast("long")).join(queries.select("q", "code"), "q")
+        open_ = now.select(F.col("u").alias("q"), least.alias("least"), "code", F.explode(F.expr("filter(v, (x, i) -> fresh[i])")).alias("node"))
+        open_ = open_.withColumn("node", F.col("node").cast("long"))
         found = open_.repartition(parts, "node").join(links, "node").select("q", "least", "code", "v", "codes").mapInArrow(score, _LIST)
         done = now.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
         now = durable(merge(done.unionByName(found), beam))
