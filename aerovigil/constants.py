@@ -139,4 +139,3 @@ ALLOCATIONS = {
 }
 KPI_ROWS = 30
 LEDGER_ROWS = 10
-SEQUENCE_ROWS = 10

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerovigil.constants import DOS_METRICS, JAM_METRICS, LABEL_CODES, PACKET_WINDOW_BOUNDS
+from aerovigil.constants import DOS_METRICS, JAM_METRICS, LABEL_CODES, PACKET_WINDOW_BOUNDS, SCHEMA_LABELS
 from aerovigil.functions import scalars as S
 
 _LABELS = sorted([*LABEL_CODES, "suspicious"])
@@ -209,8 +209,7 @@ def packet_samples(packets: DataFrame) -> DataFrame:
 def label_packets(packets: DataFrame, raw: str = "label_raw") -> DataFrame:
     """Adds ``label`` and ``collection_point``. Labels already in the schema are only lower-cased."""
     S.require_columns(packets, [raw])
-    known = packets.agg(F.bool_and(F.lower(F.trim(raw)).isin(
-        "normal", "jamming", "dos", "ddos", "suspicious"))).first()[0]
+    known = packets.agg(F.bool_and(F.lower(F.trim(raw)).isin(SCHEMA_LABELS))).first()[0]
     label = F.lower(F.trim(raw)) if known else S.normalise_label(F.coalesce(F.col(raw), F.lit("nan")))
     return (packets.withColumn("label", label)
             .withColumn("collection_point", S.collection_point(F.col("label"))))

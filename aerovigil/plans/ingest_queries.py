@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from aerovigil.constants import JAM_METRICS
 from aerovigil.functions import scalars as S
 from aerovigil.operators import windows as W
-from aerovigil.operators.ordered import order_rows
 from aerovigil.plans.registry import query
 from aerovigil.sources.fixtures import packets, packets_sql, telemetry, telemetry_sql
 

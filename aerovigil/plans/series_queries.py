@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from aerovigil import constants as K
-from aerovigil.functions import scalars as S
 from aerovigil.operators import series as R
 from aerovigil.operators import temporal as T
 from aerovigil.operators import windows as W
