@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerovigil.llm import textkit as K
-from aerovigil.session import durable
+from aerovigil.session import durable, small_side
 
 LENGTH = 2048
 END = 1                    #: Id that ends each document.
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
     inside = Window.partitionBy("length", "_block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = held.withColumn("_own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(whole, ["length", "_block"])
     first = first.select("_part", "length", (F.col("_base") + F.col("_own")).alias("_first"))
-    out = cut.join(first, ["_part", "length"])
+    out = cut.join(small_side(first), ["_part", "length"])
     return out.select(doc_id, "start", "length", "ids_crc32", "doc_tokens", (F.col("_first") + F.col("_number")).alias("sequence_id"),
                       F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
 
