@@ -28,8 +28,8 @@ from aerovigil.session import durable, small_side
 
 LENGTH = 2048
 END = 1                    #: Id that ends each document.
-KNOWN_PIECES = 600_000     #: Pieces whose ids a worker remembers; beyond it the memory starts anew.
-SLICE_BYTES = 4 << 20
+KNOWN_PIECES = 250_000     #: Pieces whose ids a worker remembers; beyond it the memory starts anew.
+SLICE_BYTES = 2 << 20
 
 _SIGNS_ONLY = re.compile(rb"[!-&(-/:-@\[-`{-~]+")
 
