@@ -360,9 +360,11 @@ def strip(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans, copies = repeated(plain, length, "text", frequent)
     copies = durable(copies)
-    own = durable(spans.join(copies, ["t1", "t2"], "left_anti").distinct())
+    # One row per text from here on: its ranges, whose number its length bounds. Written before the next join, which would
+    # otherwise be moved below the grouping.
+    each = durable(spans.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
+    own = each.join(copies, ["t1", "t2"], "left_anti")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(own, "t1", FILTER_BITS))
-    each = own.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "text", SLICE_BYTES):
@@ -386,7 +388,7 @@ def strip(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
     texts = plain.select("text", *_hashes("text"))
     need = in_filter(texts, "t1", FILTER_BITS, bits, True)
     result = T._parse_datatype_string("t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    done = need.join(each, ["t1", "t2"]).mapInArrow(cut, result)
+    done = need.join(own, ["t1", "t2"]).mapInArrow(cut, result)
     nothing = hashlib.sha256(b"").hexdigest()
     gone = copies.select("t1", "t2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
                          F.lit(nothing).alias("kept_sha256"), F.lit(b"").alias("kept"))
