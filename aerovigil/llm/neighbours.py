@@ -4,13 +4,16 @@ Index. Equal vectors are one node, which keeps its smallest ids (as many as a re
 node. Every node starts with ``degree`` random neighbours. In each round a node's neighbours, and the nodes that name it, meet at
 the node (neighbours of neighbours): a join brings their vectors, an exchange brings them together, and every member keeps its
 best new partners among the others if they beat its worst neighbour. Only neighbours that are new since the last round are
-tried again, ``sample`` of them per node and direction. Building ends when few neighbours change. Each node is then linked both
-ways.
+tried again: ``sample`` of each node's own, all compared at that node, and as many of those that name it, chosen by hash.
+Building ends when few neighbours change. Each node is then linked both ways.
 
 Search. A query keeps its ``beam`` best nodes. Each round expands all nodes of the beam that are not yet expanded: they are
-joined with the graph, whose rows carry the neighbours' vectors in eight bits per component, and what beats the beam's worst
-goes back to the query. It ends when no beam changes. The best nodes are scored again in double precision on the original
-vectors.
+joined with the graph, the distinct nodes found are scored beside their vectors, block by block, and what beats the beam's worst
+goes back to the query. It ends when no beam changes. All nodes of the beam that rounding could place among the best are scored
+again in double precision on the original vectors.
+
+Vectors travel as unit vectors in single precision and are compared by squared distance in double precision, so that near copies
+are told apart down to distances of about 1e-6.
 
 All rounds are Spark joins and exchanges; what a task holds is bounded by batches. Degree, sample and beam are search effort, no
 caps on results.
@@ -27,17 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerovigil.session import durable
+from aerovigil.session import discard, durable
 
 DEGREE, SAMPLE, PARTNERS = 24, 12, 6
 ROUNDS = 7              #: Most rounds of NN-descent.
 SETTLED = 0.05          #: Share of changed neighbours at which building ends.
 BEAM = 300
-RERANK = 64             #: Nodes per query scored again in double precision.
+BLOCK = 1024            #: Nodes whose vectors stand together in the search.
+ROUNDING = 1e-6         #: More than single precision can change a distance of unit vectors.
+UNKNOWN, ANY = -4.0, -5.0  #: Score of a neighbour not yet compared; what every score beats. Scores are from -2 to 0.
 
 _LIST = "u long, v array<int>, s array<float>, fresh array<boolean>, code binary"
 _NAMES = ["u", "v", "s", "fresh", "code"]
@@ -100,22 +105,20 @@ def merge(lists: DataFrame, most: int) -> DataFrame:
 
 
 def packed(vectors: np.ndarray) -> list[bytes]:
-    """Unit vectors as a float scale and one signed byte per component."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    scale = (np.abs(unit).max(1, keepdims=True) / 127).astype(np.float32)
-    return [s.tobytes() + r.tobytes() for s, r in zip(scale, np.rint(unit / scale).astype(np.int8))]
+    """Unit vectors in single precision."""
+    unit = vectors / np.abs(vectors).max(1, keepdims=True)  # squares neither overflow nor vanish
+    return [x.tobytes() for x in (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)]
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    """Matrix of packed vectors; a value may hold several, one after the other."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-    wide = _width(column, raw)
-    rows = raw.reshape(-1, wide)
-    return rows[:, 4:].view(np.int8).astype(np.float32) * rows[:, :4].copy().view(np.float32)
+def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Matrix of packed vectors in double precision."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.float32)
+    return raw.reshape(len(column), -1).astype(float) if len(column) else np.empty((0, 0))
 
 
-def _width(column: pa.Array, raw: np.ndarray) -> int:
-    return len(column[0].as_py()) if len(column) else 4
+def closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minus half the squared distances of two matrices' rows: for unit vectors the cosine less 1, without its rounding."""
+    return a @ b.T - (np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None]) / 2
 
 
 def nodes(rows: DataFrame, vec_id: str, vector: str, most_ids: int) -> tuple[DataFrame, int]:
@@ -166,17 +169,32 @@ def nodes(rows: DataFrame, vec_id: str, vector: str, most_ids: int) -> tuple[Dat
     return durable(cut.mapInArrow(finish, "node long, ids array<long>, vec array<double>, code binary")), total
 
 
+def _dice(u: np.ndarray, v: np.ndarray, round_: int) -> np.ndarray:
+    """A hash of two nodes that changes with the round."""
+    code = (u * 0x9E3779B1 + v.astype(np.int64) * 0x85EBCA77 + round_ * 0xC2B2AE3D) & 0x7FFFFFFF
+    return code * 0x27D4EB2F % 0x7FFFFFFF
+
+
+def _place(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Place of each row among those with equal keys; ``order`` sorts the rows by the keys first."""
+    place, n = np.empty(len(order), np.int64), len(order)
+    other = np.zeros(max(0, n - 1), bool)
+    for key in keys:
+        other |= key[order][1:] != key[order][:-1]
+    first = np.flatnonzero(np.concatenate(([True], other))) if n else np.empty(0, np.int64)
+    place[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    return place
+
+
 def _meetings(graph: DataFrame, sample: int, round_: int) -> tuple[DataFrame, DataFrame]:
-    """(centre, member, fresh): who meets where this round; and the graph with the tried neighbours no longer fresh."""
+    """(centre, member, fresh): who meets where this round; and the graph with the tried neighbours no longer fresh.
+
+    A centre's own chosen neighbours all meet there, so each neighbour marked as tried has been compared; of the nodes that name
+    the centre at most ``sample`` fresh and as many others come, by hash.
+    """
     def chosen(fresh: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Of each u, at most ``sample`` fresh and as many other neighbours, by a hash that changes with the round."""
-        code = (u * 0x9E3779B1 + v.astype(np.int64) * 0x85EBCA77 + round_ * 0xC2B2AE3D) & 0x7FFFFFFF
-        code = code * 0x27D4EB2F % 0x7FFFFFFF
-        order = np.lexsort((code, ~fresh, u))
-        place = np.empty(len(u), np.int64)
-        group = np.flatnonzero(np.concatenate(([True], (u[order][1:] != u[order][:-1]) | (fresh[order][1:] != fresh[order][:-1]))))
-        place[order] = np.arange(len(u)) - np.repeat(group, np.diff(np.append(group, len(u))))
-        return place < sample
+        """Of each u, at most ``sample`` fresh and as many other neighbours, by hash."""
+        return _place(np.lexsort((_dice(u, v, round_), ~fresh, u)), u, fresh) < sample
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +204,19 @@ def _meetings(graph: DataFrame, sample: int, round_: int) -> tuple[DataFrame, Da
             if len(u):
                 use = chosen(fresh, u, v)
                 u, v, fresh = u[use], v[use].astype(np.int64), fresh[use]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((u, v))), pa.array(np.concatenate((v, u))), pa.array(np.concatenate((fresh, fresh)))],
-                                                 ["centre", "member", "fresh"])
+                own = np.arange(2 * len(u)) < len(u)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((u, v))), pa.array(np.concatenate((v, u))), pa.array(np.concatenate((fresh, fresh))),
+                                                  pa.array(own)], ["centre", "member", "fresh", "own"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, "centre"):
+            c, m = part.column("centre").to_numpy(), part.column("member").to_numpy()
+            fresh, own = (part.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("fresh", "own"))
+            once = _place(np.lexsort((~own, ~fresh, m, c)), c, m) == 0
+            c, m, fresh, own = c[once], m[once], fresh[once], own[once]
+            use = _place(np.lexsort((_dice(c, m, round_), own, fresh, c)), c, fresh, own) < sample
+            use &= np.isin(c, c[fresh])  # without a fresh member nothing is new
+            yield pa.RecordBatch.from_arrays([pa.array(c[use]), pa.array(m[use]), pa.array(fresh[use])], ["centre", "member", "fresh"])
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,27 +227,24 @@ def _meetings(graph: DataFrame, sample: int, round_: int) -> tuple[DataFrame, Da
                 fresh = fresh & ~chosen(fresh, u, v)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), batch.column("s"), _lists(fresh, size, pa.bool_()), batch.column("code")], _NAMES)
 
-    return graph.mapInArrow(pairs, "centre long, member long, fresh boolean"), graph.mapInArrow(tried, _LIST)
+    met = graph.mapInArrow(pairs, "centre long, member long, fresh boolean, own boolean")
+    met = met.repartition("centre").sortWithinPartitions("centre").mapInArrow(cut, "centre long, member long, fresh boolean")
+    return met, graph.mapInArrow(tried, _LIST)
 
 
-def _local_join(meetings: DataFrame, codes: DataFrame, sample: int, partners: int) -> DataFrame:
+def _local_join(meetings: DataFrame, codes: DataFrame, partners: int) -> DataFrame:
     """For every member, its best partners among those it meets, if they beat its worst neighbour."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, "centre"):
             centre, member = part.column("centre").to_numpy(), part.column("member").to_numpy()
-            fresh, worst = part.column("fresh").to_numpy(zero_copy_only=False), part.column("worst").to_numpy()
+            fresh, worst = part.column("fresh").to_numpy(zero_copy_only=False).astype(bool), part.column("worst").to_numpy()
             vectors = unpacked(part.column("code"))
             bounds = np.append(np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1]))), len(centre))
             us, vs, ss, ns = [], [], [], []
             for a, b in zip(bounds, bounds[1:]):
-                _, first = np.unique(member[a:b] * 2 + ~fresh[a:b], return_index=True)
-                first = first + a
-                new = first[fresh[first]][:2 * sample]
-                old = first[~fresh[first]][:2 * sample]
-                if not len(new):
-                    continue
+                new, old = a + np.flatnonzero(fresh[a:b]), a + np.flatnonzero(~fresh[a:b])
                 every = np.concatenate((new, old))
-                score = vectors[new] @ vectors[every].T
+                score = closeness(vectors[new], vectors[every])
                 score[member[new][:, None] == member[every][None]] = -9
                 for rows, cols, grid in ((new, every, score), (old, new, score[:, len(new):].T)):
                     k = min(partners, grid.shape[1])
@@ -226,7 +252,7 @@ def _local_join(meetings: DataFrame, codes: DataFrame, sample: int, partners: in
                         continue
                     best = np.argpartition(-grid, k - 1, axis=1)[:, :k]
                     s = np.take_along_axis(grid, best, axis=1)
-                    ok = s > np.maximum(worst[rows][:, None], -5)
+                    ok = s > np.maximum(worst[rows][:, None], ANY)
                     n = ok.sum(1)
                     some = n > 0
                     us.append(member[rows][some])
@@ -252,84 +278,96 @@ def build(points: DataFrame, total: int, degree: int = DEGREE, sample: int = SAM
         start = F.transform(F.sequence(F.lit(0), F.lit(degree - 1)), lambda j: F.pmod(F.xxhash64(F.col("node"), j), F.lit(total)).cast("int"))
         start = F.filter(F.array_distinct(start), lambda x: x != F.col("node"))
     graph = points.select(F.col("node").alias("u"), start.alias("v"), "code")
-    graph = durable(graph.select("u", "v", F.transform("v", lambda x: F.lit(-2.0).cast("float")).alias("s"), F.transform("v", lambda x: F.lit(True)).alias("fresh"), "code"))
+    graph = durable(graph.select("u", "v", F.transform("v", lambda x: F.lit(UNKNOWN).cast("float")).alias("s"), F.transform("v", lambda x: F.lit(True)).alias("fresh"), "code"))
     most = 2 * degree if total <= 2 * degree else degree
     for k in range(rounds):
         meetings, tried = _meetings(graph, sample, k)
-        known = graph.select(F.col("u").alias("node"), "code", F.when(F.size("v") < degree, -3.0).otherwise(F.array_min("s")).cast("float").alias("worst"))
-        graph = durable(merge(tried.unionByName(_local_join(meetings, known, sample, partners)), most))
+        known = graph.select(F.col("u").alias("node"), "code", F.when(F.size("v") < degree, ANY).otherwise(F.array_min("s")).cast("float").alias("worst"))
+        before, graph = graph, durable(merge(tried.unionByName(_local_join(meetings, known, partners)), most))
+        discard(before)
         changed = graph.agg(F.coalesce(F.sum(F.size(F.filter("fresh", lambda x: x))), F.lit(0))).first()[0]
         if changed <= settled * degree * total:
             break
     return graph
 
 
-def both_ways(graph: DataFrame, points: DataFrame, degree: int = DEGREE) -> DataFrame:
-    """(node, v, codes): neighbours of each node in either direction with their packed vectors, partitioned by node."""
+def both_ways(graph: DataFrame, degree: int = DEGREE) -> DataFrame:
+    """(node, near): neighbours of each node in either direction."""
     one = graph.select("u", F.explode(F.arrays_zip("v", "s")).alias("e")).select("u", "e.v", "e.s")
     back = one.select(F.col("v").cast("long").alias("u"), F.array(F.col("u").cast("int")).alias("v"), F.array("s").alias("s"), F.array(F.lit(False)).alias("fresh"),
                       F.lit(None).cast("binary").alias("code"))
-    linked = merge(graph.unionByName(back), 2 * degree)
-    far = linked.select("u", F.explode("v").alias("v")).join(points.select(F.col("node").alias("v"), "code"), "v")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, "node"):
-            node, v, code = part.column("node").to_numpy(), part.column("v").to_numpy(), part.column("code").to_pylist()
-            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            cuts = np.append(first, len(node))
-            yield pa.RecordBatch.from_arrays([pa.array(node[first]), _lists(v, np.diff(cuts), pa.int32()),
-                                              pa.array([b"".join(code[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())], ["node", "v", "codes"])
+    return merge(graph.drop("code").withColumn("code", F.lit(None).cast("binary")).unionByName(back), 2 * degree).select(F.col("u").alias("node"), F.col("v").alias("near"))
 
-    far = far.select(F.col("u").alias("node"), F.col("v").cast("int").alias("v"), "code")
-    return far.repartition("node").sortWithinPartitions("node").mapInArrow(gather, "node long, v array<int>, codes binary")
 
-
-def search(graph: DataFrame, points: DataFrame, queries: DataFrame, total: int, beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
-    """(q, node): the best ``RERANK`` nodes of each query's final beam. ``queries``: (q, code, starts), with distinct q."""
-    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = both_ways(graph, points, degree).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
+def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
+    """(q, node): of each query's final beam, the nodes that can be among its ``k`` best. ``queries``: (q, code, starts), with distinct q."""
+    beam = max(beam, k)
+    links = durable(both_ways(graph, degree))
+    blocks = points.select(F.col("node"), F.col("code").alias("vector"), F.floor(F.col("node") / BLOCK).alias("block"))
 
     def first(rows: DataFrame) -> DataFrame:
-        known = F.transform("starts", lambda x: F.when(x == F.col("q"), 1.0).otherwise(-2.0).cast("float"))
+        known = F.transform("starts", lambda x: F.when(x == F.col("q"), 0.0).otherwise(UNKNOWN).cast("float"))
         return rows.select(F.col("q").alias("u"), F.col("starts").alias("v"), known.alias("s"),
                            F.transform("starts", lambda x: F.lit(True)).alias("fresh"), "code")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, vs, ss = [], [], []
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                asked = unpacked(part.column("code"))
-                v, size = _flat(part.column("v"))
-                raw = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(v), -1)
-                near = raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
-                owner = np.repeat(np.arange(part.num_rows), size)
-                s = np.einsum("ij,ij->i", near, asked[owner])
-                ok = s > part.column("least").to_numpy()[owner]
-                us.append(part.column("q").to_numpy()[owner[ok]])
-                vs.append(v[ok])
-                ss.append(s[ok])
-            u, v, s = map(np.concatenate, (us, vs, ss))
-            order = np.lexsort((v, u))
-            u, v, s = u[order], v[order], s[order]
-            new = np.ones(len(u), bool)
-            new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-            u, v, s = u[new], v[new], s[new]
-            cut = np.append(np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))), len(u)) if len(u) else np.zeros(1, np.int64)
-            size = np.diff(cut)
-            yield pa.RecordBatch.from_arrays([pa.array(u[cut[:-1]]), _lists(v, size, pa.int32()), _lists(s, size, pa.float32()),
-                                              _lists(np.ones(len(v), bool), size, pa.bool_()), pa.nulls(len(size), pa.binary())], _NAMES)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query's distinct found nodes, a row per block."""
+        for part in _groups(batches, "q"):
+            v, size = _flat(part.column("near"))
+            row = np.repeat(np.arange(part.num_rows), size)
+            q = part.column("q").to_numpy()
+            row = np.searchsorted(q, q)[row]  # the first row of each query
+            order = np.lexsort((v, row))
+            row, v = row[order], v[order]
+            new = np.ones(len(v), bool)
+            new[1:] = (row[1:] != row[:-1]) | (v[1:] != v[:-1])
+            row, v = row[new], v[new]
+            block = v.astype(np.int64) // BLOCK
+            head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))) if len(v) else np.empty(0, np.int64)
+            at = pa.array(row[head])
+            yield pa.RecordBatch.from_arrays([pa.array(block[head]), *(part.column(c).take(at) for c in ("q", "least", "code")),
+                                              _lists(v, np.diff(np.append(head, len(v))), pa.int32())], ["block", "q", "least", "code", "v"])
+
+    def score(asked: pa.Table, here: pa.Table) -> pa.Table:
+        here = here.sort_by("node")
+        near, node = unpacked(here.column("vector")), here.column("node").to_numpy()
+        half = np.einsum("ij,ij->i", near, near) / 2
+        us, vs, ss, ns = [], [], [], []
+        for part in asked.to_batches(max_chunksize=256):
+            v, size = _flat(part.column("v"))
+            owner = np.repeat(np.arange(part.num_rows), size)
+            at = np.searchsorted(node, v)
+            q = unpacked(part.column("code"))
+            s = np.einsum("ij,ij->i", near[at], q[owner]) - half[at] - (np.einsum("ij,ij->i", q, q) / 2)[owner]
+            ok = s > part.column("least").to_numpy()[owner]
+            n = np.bincount(owner[ok], minlength=part.num_rows)
+            us.append(part.column("q").to_numpy()[n > 0])
+            ns.append(n[n > 0])
+            vs.append(v[ok])
+            ss.append(s[ok])
+        if not us:
+            us, ns, vs, ss = ([np.empty(0, t)] for t in (np.int64, np.int64, np.int32, np.float32))
+        u, n, v, s = map(np.concatenate, (us, ns, vs, ss))
+        return pa.Table.from_arrays([pa.array(u), _lists(v, n, pa.int32()), _lists(s, n, pa.float32()),
+                                     _lists(np.ones(len(v), bool), n, pa.bool_()), pa.nulls(len(n), pa.binary())], _NAMES)
 
     now = durable(first(queries))
     while now.filter(F.exists("fresh", lambda x: x)).limit(1).count():
-        least = F.when(F.size("v") < beam, -3.0).otherwise(F.array_min("s")).cast("float")
+        least = F.when(F.size("v") < beam, ANY).otherwise(F.array_min("s")).cast("float")
         open_ = now.select(F.col("u").alias("q"), least.alias("least"), "code", F.explode(F.expr("filter(v, (x, i) -> fresh[i])")).alias("node"))
         open_ = open_.withColumn("node", F.col("node").cast("long"))
-        found = open_.repartition(parts, "node").join(links, "node").select("q", "least", "code", "v", "codes").mapInArrow(score, _LIST)
+        found = open_.join(links, "node").select("q", "least", "code", "near").repartition("q").sortWithinPartitions("q")
+        found = found.mapInArrow(spread, "block long, q long, least float, code binary, v array<int>")
+        found = found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(score, _LIST)
         done = now.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
-        now = durable(merge(done.unionByName(found), beam))
-    links.unpersist()
-    best = now.select(F.col("u").alias("q"), F.explode(F.slice("v", 1, RERANK)).alias("node"))
-    return best.withColumn("node", F.col("node").cast("long"))
+        before, now = now, durable(merge(done.unionByName(found), beam))
+        discard(before)
+    discard(links)
+    far = F.transform("s", lambda x: F.sqrt(F.greatest(F.lit(0.0), -2 * x.cast("double"))))  # ascending, as the beam is by score
+    best = now.select(F.col("u").alias("q"), F.explode(F.arrays_zip("v", far.alias("far"))).alias("e"),
+                      F.coalesce(F.get(far, F.lit(k - 1)), F.lit(9.0)).alias("limit"))
+    best = best.select("q", F.col("e.v").cast("long").alias("node"), F.col("e.far").alias("far"), "limit")
+    return best.filter(F.col("far") <= F.col("limit") + ROUNDING).select("q", "node")
 
 
 def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", degree: int = DEGREE,
@@ -341,7 +379,7 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, vec_id: str = "vec_id
     mine = mine.select("vec", "code")
     here = points.select(F.col("node").alias("q"), "vec")
     queries = durable(mine.join(here, "vec").select("q", "code", F.array(F.col("q").cast("int")).alias("starts")))
-    found = search(graph, points, queries, total, beam, degree)
+    found = search(graph, points, queries, k + 1, beam, degree)  # one of them is the query's own node
     scored = found.join(points.select(F.col("node").alias("q"), F.col("vec").alias("a")), "q").join(points.select("node", "ids", F.col("vec").alias("b")), "node")
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,3 +39,21 @@ def test_few_vectors(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
     assert neighbours.nearest(df.limit(1), df.limit(1)).count() == 0
+
+
+def test_near_copies_are_told_apart(spark):
+    """Groups whose vectors differ by far less than eight bits per component."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(900, 16))
+    for a, b, noise in ((100, 200, 1e-2), (200, 600, 1e-4)):
+        vectors[a:b] = vectors[a] + noise * vectors[a:b]
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.nearest(df, df.filter("vec_id % 25 = 0"), k=5).toPandas()
+    found = got.groupby("query_id")["vec_id"].apply(set).to_dict()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    right = {}
+    for q in range(0, 900, 25):
+        far = ((unit - unit[q]) ** 2).sum(1)
+        want = [i for i in np.argsort(far, kind="stable") if i != q][:5]
+        right.setdefault((q >= 100) + int(q >= 200) + (q >= 600), []).append(len(found[q] & set(want)) / 5)
+    assert all(np.mean(x) >= 0.95 for x in right.values()), {g: float(np.mean(x)) for g, x in right.items()}
