@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerovigil.llm import textkit as K
-from aerovigil.session import durable
+from aerovigil.session import durable, small_side
 
 
 def add_columns(docs: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Array]], fields: str, text: str = "text",
@@ -47,6 +47,30 @@ def learning_rows(docs: DataFrame, wanted: Column, most: int, doc_id: str = "doc
     return rows.filter(F.pmod(F.xxhash64(F.lit("learn"), F.col(doc_id)), F.lit(1_000_000)) < int(1_000_000 * most / n))
 
 
+def learning_rows_by(docs: DataFrame, wanted: Column, most: int, group: str, doc_id: str = "doc_id") -> DataFrame:
+    """About ``most`` of the rows that ``wanted`` allows, with a share for every value of ``group``, chosen by a hash of the id.
+
+    All rows of the rarest values, and about equally many of each other value. Every value keeps at least one row, so more values
+    than ``most`` give a row each.
+    """
+    rows = docs.filter(wanted)
+    dice = F.pmod(F.xxhash64(F.lit("learn"), F.col(doc_id)), F.lit(1_000_000_000))
+    place = F.struct(dice.alias("dice"), F.col(doc_id).alias("id"))
+    held = durable(rows.groupBy(group).agg(F.count("*").alias("count"), F.min(place).alias("_first")))  # a row per value
+    if (held.agg(F.sum("count")).first()[0] or 0) <= most:
+        return rows
+    left, groups, share = most, held.count(), 0.0
+    while groups:  # values that fit within the equal share leave the rest of theirs to the others
+        share = left / groups
+        small = held.filter(F.col("count") <= share).agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+        if most - small[1] == left:
+            break
+        left, groups = most - small[1], held.count() - small[0]
+    rate = held.select(group, (F.lit(float(share)) / F.col("count")).alias("_rate"), "_first")
+    kept = rows.join(small_side(rate), group).filter((dice < 1e9 * F.col("_rate")) | (place == F.col("_first")))
+    return kept.select(*rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; the component is the smallest node reachable.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerovigil.llm import textkit as K
-from aerovigil.llm.frames import add_columns, fold, learning_rows
+from aerovigil.llm.frames import add_columns, fold, learning_rows_by
 
 LEARN_ROWS = 4_000     #: Most texts that the regression is fitted on.
 LANDMARKS = 240        #: Texts that span the kernel space.
@@ -84,9 +84,12 @@ class Model:
 
 def train(docs: DataFrame, lang: str = "lang", folds: int = 4, held: int = 2, most: int = LEARN_ROWS, landmarks: int = LANDMARKS,
           doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fits on at most about ``most`` texts with a language, outside the held-out fold; equally many landmarks per language."""
+    """Fits on at most about ``most`` texts with a language, outside the held-out fold, with a share for every language.
+
+    Landmarks are different sets of n-grams, equally many per language.
+    """
     known = F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id, folds) != held)
-    rows = learning_rows(docs.select(doc_id, lang, text), known, most, doc_id).select(lang, text)
+    rows = learning_rows_by(docs.select(doc_id, lang, text), known, most, lang, doc_id).select(lang, text)
 
     def sets(part: pa.RecordBatch) -> list[pa.Array]:
         data, offsets = lowered(part.column(text))
@@ -101,7 +104,9 @@ def train(docs: DataFrame, lang: str = "lang", folds: int = 4, held: int = 2, mo
     if not names:
         return Model([], np.empty(0, np.int64), np.empty((0, 0)))
     order = np.argsort([int(K.mix(np.array([len(g) + g.sum(dtype=np.int64)], np.uint64))[0]) for g in own], kind="stable")
-    chosen = np.concatenate([order[langs[order] == n][:max(1, landmarks // len(names))] for n in names])
+    seen: set[tuple[str, bytes]] = set()
+    once = np.array([i for i in order if (k := (langs[i], own[i].tobytes())) not in seen and not seen.add(k)])  # copies span nothing
+    chosen = np.concatenate([once[langs[once] == n][:max(1, landmarks // len(names))] for n in names])
     grams = np.unique(np.concatenate([own[i] for i in chosen])).astype(np.int64)
 
     def vectors(which) -> np.ndarray:

@@ -82,3 +82,21 @@ def test_kernel_is_the_set_product():
     for i in range(3):
         for j in range(3):
             assert p[i] @ p[j] == pytest.approx(len(sets[i] & sets[j]) / (len(sets[i]) * len(sets[j])) ** 0.5, abs=1e-5)
+
+
+def test_rare_language_and_copies(spark):
+    """A language far below one learning row in a plain sample is learned, and copies of a text take one landmark."""
+    rng = np.random.default_rng(3)
+    words = {"en": ["the", "house", "with", "water", "there"], "fr": ["une", "maison", "avec", "eau", "vous"], "xx": ["zqk", "wvjx", "qqzy", "kxwv"]}
+    rows = [(i, "the house " * 5 if i % 3 == 0 else " ".join(rng.choice(words[n], 12)), n) for i, n in enumerate(["en", "fr"] * 3000)]
+    rows = [(i, t, "en" if i % 3 == 0 else n) for i, t, n in rows]
+    rows += [(10_000 + i, " ".join(rng.choice(words["xx"], 12)), "xx") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, most=100, landmarks=60)
+    assert model.languages == ["en", "fr", "xx"]
+    got = language.identify(docs, model).filter("lang = 'xx'").toPandas()
+    assert (got["lang_pred"] == "xx").all() and len(got) == 12
+    from pyspark.sql import functions as F
+    from aerovigil.llm.frames import learning_rows_by
+    sizes = {r["lang"]: r["count"] for r in learning_rows_by(docs, F.lit(True), 100, "lang").groupBy("lang").count().collect()}
+    assert sizes["xx"] == 12 and 20 <= sizes["en"] <= 80 and 20 <= sizes["fr"] <= 80
