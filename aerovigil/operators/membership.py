@@ -24,6 +24,12 @@ class BloomShape:
         return BloomShape(bits, max(1, round(bits / capacity * math.log(2))), capacity, error_rate)
 
 
+def shape_for(df: DataFrame, item: str, least: BloomShape) -> BloomShape:
+    """``least``, or a shape of its error rate for all distinct items of ``df`` when they are more than it is made for."""
+    n = df.where(F.col(item).isNotNull()).select(item).distinct().count()
+    return least if n <= least.capacity else BloomShape.for_capacity(n, least.error_rate)
+
+
 def _hex_mod(digest: Column, digits: int, modulus: int) -> Column:
     """A hexadecimal number modulo ``modulus``, sixteen bits at a time."""
     out = F.lit(0).cast("bigint")

@@ -352,16 +352,20 @@ _BITS = f"""{_T}, items as (select distinct node_id as item, unique_source_count
 
 @query("c27_bloom_bits", f"{_BITS} select cast(bit // 32768 + 1 as bigint) as block, count(distinct bit) as set_bits from bits where add group by 1")
 def _(spark, sf):
-    b = B.build(_floods(spark, sf), "node_id", _SHAPE)
+    floods = _floods(spark, sf)
+    b = B.build(floods, "node_id", B.shape_for(floods, "node_id", _SHAPE))
     return b.select("block", F.expr("bitmap_count(bitmap)").alias("set_bits"))
 
 
 @query("e8_bloom_probe", f"{_BITS}, s as (select distinct bit from bits where add) select item, count(distinct bits.bit) filter (where s.bit is not null) = count(distinct bits.bit) as maybe_present from bits left join s on bits.bit = s.bit group by 1")
 def _(spark, sf):
-    return B.probe(telemetry(spark, sf, "node_id"), "node_id", B.build(_floods(spark, sf), "node_id", _SHAPE), _SHAPE)
+    floods = _floods(spark, sf)
+    shape = B.shape_for(floods, "node_id", _SHAPE)
+    return B.probe(telemetry(spark, sf, "node_id"), "node_id", B.build(floods, "node_id", shape), shape)
 
 
 @query("c27_bloom_summary", f"""{_T} select {_SHAPE.bits} as m_bits, {_SHAPE.hashes} as k_hashes, count(*) as items_added,
     round(pow(1 - exp(-{_SHAPE.hashes} * count(*)::double / {_SHAPE.bits}), {_SHAPE.hashes}), 6) as estimated_fpr from t where label in ('dos', 'ddos') and unique_source_count >= 62""")
 def _(spark, sf):
-    return B.summary(_floods(spark, sf), "node_id", _SHAPE).select("m_bits", "k_hashes", "items_added", "estimated_fpr")
+    floods = _floods(spark, sf)
+    return B.summary(floods, "node_id", B.shape_for(floods, "node_id", _SHAPE)).select("m_bits", "k_hashes", "items_added", "estimated_fpr")

@@ -156,5 +156,17 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert got == [(h1 % shape.bits + i * (h2 % shape.bits)) % shape.bits for i in range(shape.hashes)]
 
 
+def test_bloom_queries_grow_with_their_items(spark, monkeypatch):
+    from aerovigil.plans import swarm_queries
+    from aerovigil.plans.registry import QUERIES
+    dos = F.col("id") < 6000
+    t = spark.range(9000).select(F.concat(F.lit("uav_"), "id").alias("node_id"), F.when(dos, "dos").otherwise("normal").alias("label"),
+                                 F.when(dos, 70).otherwise(1).alias("unique_source_count"))
+    monkeypatch.setattr(swarm_queries, "telemetry", lambda spark, sf, *columns: t.select(*columns))
+    got = {r["item"]: r["maybe_present"] for r in QUERIES["e8_bloom_probe"](spark, "").collect()}
+    assert all(got[f"uav_{i}"] for i in range(6000)) and sum(got[f"uav_{i}"] for i in range(6000, 9000)) < 90
+    assert QUERIES["c27_bloom_summary"](spark, "").first()["estimated_fpr"] < 0.011
+
+
 def test_desired_actions_are_known():
     assert all(set(a) <= set(K.ACTIONS) for a in K.DESIRED_ACTIONS.values())
