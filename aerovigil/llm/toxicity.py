@@ -4,8 +4,8 @@ Voters: groups of lexicon entries and a few patterns. The lexicon holds words, a
 more frequent in texts labelled toxic in the learning fold; entries are dealt into voters by strength and kind, so a voter is a
 list that fires or abstains. The label given in the learning fold is one more voter.
 
-Label model: voters fire with a rate per class. Rates and the class prior are estimated by expectation-maximisation without
-looking at the truth; voters that still correlate within a class share their weight. Its posterior is the soft label on which
+Label model: voters fire with a rate per class. Rates and the class prior are estimated by expectation-maximisation starting from
+the given labels (weight 0.9), so its posteriors stay near them; voters that still correlate within a class share their weight. Its posterior is the soft label on which
 a ridge-penalised logistic classifier of voter counts and densities is fitted (Newton steps). Scoring needs the hit counts of a
 text only.
 
