@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerovigil.llm import decontaminate, jaccard, language, neighbours, packing, quality, repeats, secrets, sharding, toxicity
+from aerovigil.llm import (alignment, decontaminate, jaccard, language, neighbours, packing, phrases, quality, repeats, secrets, sharding, tokencount,
+                           toxicity)
 from aerovigil.llm.textkit import table
 from aerovigil.session import tune
 
@@ -107,3 +108,49 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.filter(F.pmod("vec_id", F.lit(50)) == 0), k=5)
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return tokencount.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+    return alignment.compare(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+
+
+#: Runs of words by their definition; the score in 128-bit integers.
+_PHRASE_SQL = """
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents),
+bag as (select lang, list_filter(string_split_regex(p, '[ \\x09]+'), lambda x: x <> '') as w from piece),
+run as (
+  select lang, size, unnest(list_transform(range(1, greatest(len(w) - size + 2, 1)), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase
+  from bag, (values (1), (2), (3)) as s(size)),
+freq as (select lang, size, phrase, count(*) as f from run group by all),
+total as (select lang, sum(f)::bigint as n from freq where size = 1 group by 1),
+cand as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from freq where size > 1 and f >= 10),
+inner_part as (
+  select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from cand where size = 3),
+longer as (select lang, phrase, max(a) as b from inner_part group by all),
+kept as (
+  select c.* from cand c left join longer o on o.lang = c.lang and o.phrase = c.phrase where o.b is null or 100 * o.b < 50 * c.a),
+cut as (
+  select kept.*, k, array_to_string(w[1:k], ' ') as x, array_to_string(w[k + 1:size], ' ') as y
+  from kept, (values (1), (2)) as t(k) where k < size),
+scored as (
+  select cut.lang, cut.phrase, a, k, p.f as l, q.f as r, (1000000::hugeint * a * a) // (p.f::hugeint * q.f) as score
+  from cut join freq p on p.lang = cut.lang and p.phrase = x join freq q on q.lang = cut.lang and q.phrase = y),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
+select r.lang, rank, phrase, a, l, r.r, n, score::bigint as score from ranked r join total t on t.lang = r.lang where rank <= 2000
+"""
+
+
+@query(_PHRASE_SQL)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("pointer")
