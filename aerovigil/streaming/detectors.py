@@ -1,17 +1,17 @@
 """Per-node online detectors as keyed streaming state.
 
-A micro-batch of a node is sorted by time and folded through ``advance``; the state of a node is a
-few numbers per metric, whatever the length of its history.
+Windows are folded through ``advance`` in event-time order; the state carried per node is a few numbers per metric, whatever the
+length of its history.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from aerovigil.streaming.eventtime import in_order
 
 # Monitored metrics and limits.
 EWMA_METRICS = ["rssi_dbm", "snr_db", "sinr_db", "packet_delivery_ratio", "channel_occupancy_pct", "bit_error_rate"]
@@ -19,8 +19,11 @@ CUSUM_DIRECTIONS = {"snr_db": "down", "sinr_db": "down", "mac_retry_count": "up"
                     "channel_occupancy_pct": "up"}
 ALPHA, SIGMAS, WARMUP, SLACK, LIMIT, HISTORY = 0.3, 3.0, 10, 0.5, 5.0, 30
 
+_EWMA_DETAIL = "metric: string, ewma: double, std: double, z_score: double, alarm: int"
+_CUSUM_DETAIL = "metric: string, s_up: double, s_dn: double, h: double, alarm: int, phase: string"
 RESULT = ("node_id string, ts timestamp, source_row_id bigint, window_id bigint, ewma_alarms int, ewma_alarm int, "
-          "cusum_alarms int, cusum_alarm int, jam_alarm int, consecutive_alarms int, confidence double, severity string")
+          "cusum_alarms int, cusum_alarm int, jam_alarm int, consecutive_alarms int, confidence double, severity string, "
+          f"ewma_details array<struct<{_EWMA_DETAIL}>>, cusum_details array<struct<{_CUSUM_DETAIL}>>")
 _STATE = ("windows bigint, mean array<double>, square array<double>, seen array<int>, warm array<double>, "
           "warm_seen array<int>, center array<double>, width array<double>, total array<double>, recent array<int>")
 
@@ -31,19 +34,27 @@ def fresh() -> dict:
             "warm_seen": [0] * c, "center": [0.0] * c, "width": [0.0] * c, "total": [0.0] * c, "recent": []}
 
 
-def _ewma_alarm(state: dict, i: int, x: float) -> int:
+def reset(state: dict) -> None:
+    """Both detectors start anew, as after a confirmed attack or a reboot; the window number and the recent alarms go on."""
+    state.update({k: v for k, v in fresh().items() if k not in ("windows", "recent")})
+
+
+def _ewma(state: dict, i: int, x: float) -> dict:
     if not state["seen"][i]:
         state["mean"][i], state["square"][i], state["seen"][i] = x, x * x, 1
-        return 0
+        return {"metric": EWMA_METRICS[i], "ewma": x, "std": 0.0, "z_score": 0.0, "alarm": 0}
     state["mean"][i] += ALPHA * (x - state["mean"][i])
     state["square"][i] += ALPHA * (x * x - state["square"][i])
     state["seen"][i] += 1
-    spread = math.sqrt(max(0.0, state["square"][i] - state["mean"][i] ** 2)) + 1e-9
-    return int(state["seen"][i] >= WARMUP and abs(x - state["mean"][i]) / spread > SIGMAS)
+    mean = state["mean"][i]
+    spread = math.sqrt(max(0.0, state["square"][i] - mean * mean)) + 1e-9
+    z = abs(x - mean) / spread
+    return {"metric": EWMA_METRICS[i], "ewma": mean, "std": spread, "z_score": round(z, 4),
+            "alarm": int(state["seen"][i] >= WARMUP and z > SIGMAS)}
 
 
-def _cusum_alarm(state: dict, i: int, direction: str, x: float) -> int:
-    """One-sided CUSUM; its sum returns to 0 after an alarm."""
+def _cusum(state: dict, i: int, metric: str, direction: str, x: float) -> dict:
+    """One-sided CUSUM; its sum returns to 0 after an alarm, the result still shows the sum that raised it."""
     if state["warm_seen"][i] < WARMUP:
         state["warm"][i * WARMUP + state["warm_seen"][i]] = x
         state["warm_seen"][i] += 1
@@ -52,24 +63,27 @@ def _cusum_alarm(state: dict, i: int, direction: str, x: float) -> int:
             center = sum(calm) / WARMUP
             state["center"][i] = center
             state["width"][i] = math.sqrt(sum((v - center) ** 2 for v in calm) / WARMUP) + 1e-6
-        return 0
+        return {"metric": metric, "s_up": 0.0, "s_dn": 0.0, "h": None, "alarm": 0, "phase": "warmup"}
     sign = 1.0 if direction == "up" else -1.0
     width = state["width"][i]
-    state["total"][i] = max(0.0, state["total"][i] + sign * (x - state["center"][i]) - SLACK * width)
-    if state["total"][i] > LIMIT * width:
-        state["total"][i] = 0.0
-        return 1
-    return 0
+    total = max(0.0, state["total"][i] + sign * (x - state["center"][i]) - SLACK * width)
+    alarm = int(total > LIMIT * width)
+    state["total"][i] = 0.0 if alarm else total
+    return {"metric": metric, "s_up": round(total, 4) if sign > 0 else 0.0, "s_dn": -round(total, 4) if sign < 0 else 0.0,
+            "h": round(LIMIT * width, 4), "alarm": alarm, "phase": "active"}
 
 
 def advance(state: dict, values: dict) -> dict:
-    """Folds one window into the state and returns its result; absent metrics are skipped."""
+    """Folds one window into the state and returns its result; absent metrics are skipped, a true ``reset`` starts the detectors anew."""
     def known(name: str) -> bool:
         return values.get(name) is not None and not math.isnan(values[name])
 
+    if values.get("reset") is True or values.get("reset") == 1:
+        reset(state)
     state["windows"] += 1
-    ewma = sum(_ewma_alarm(state, i, float(values[m])) for i, m in enumerate(EWMA_METRICS) if known(m))
-    cusum = sum(_cusum_alarm(state, i, d, float(values[m])) for i, (m, d) in enumerate(CUSUM_DIRECTIONS.items()) if known(m))
+    ewma_details = [_ewma(state, i, float(values[m])) for i, m in enumerate(EWMA_METRICS) if known(m)]
+    cusum_details = [_cusum(state, i, m, d, float(values[m])) for i, (m, d) in enumerate(CUSUM_DIRECTIONS.items()) if known(m)]
+    ewma, cusum = sum(d["alarm"] for d in ewma_details), sum(d["alarm"] for d in cusum_details)
     alarm = int(ewma >= 2 or (cusum >= 1 and ewma >= 1))
     state["recent"] = [*state["recent"], alarm][-HISTORY:]
     count = sum(state["recent"])
@@ -77,24 +91,27 @@ def advance(state: dict, values: dict) -> dict:
     metrics = len(EWMA_METRICS) + len(CUSUM_DIRECTIONS)
     return {"window_id": state["windows"], "ewma_alarms": ewma, "ewma_alarm": int(ewma >= 2), "cusum_alarms": cusum,
             "cusum_alarm": int(cusum >= 1), "jam_alarm": alarm, "consecutive_alarms": count,
-            "confidence": round(min((ewma + cusum) / metrics, 1.0), 4), "severity": level}
+            "confidence": round(min((ewma + cusum) / metrics, 1.0), 4), "severity": level,
+            "ewma_details": ewma_details, "cusum_details": cusum_details}
 
 
-def _fold(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-    names = list(fresh())
-    state = dict(zip(names, (list(v) if not isinstance(v, int) else v for v in group.get))) if group.exists else fresh()
-    rows = pd.concat(list(parts)).sort_values(["ts", "source_row_id"])
-    metrics = [m for m in dict.fromkeys([*EWMA_METRICS, *CUSUM_DIRECTIONS]) if m in rows.columns]
-    results = [advance(state, dict(zip(metrics, values))) for values in rows[metrics].itertuples(index=False, name=None)]
-    group.update(tuple(state[n] for n in names))
+def _fresh() -> tuple:
+    return tuple(fresh().values())
+
+
+def _fold(carried: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    state = {n: list(v) if not isinstance(v, int) else v for n, v in zip(fresh(), carried)}
+    names = [m for m in dict.fromkeys([*EWMA_METRICS, *CUSUM_DIRECTIONS, "reset"]) if m in rows.columns]
+    results = [advance(state, dict(zip(names, values))) for values in rows[names].itertuples(index=False, name=None)]
     out = pd.DataFrame(results)
-    out.insert(0, "node_id", key[0])
-    out.insert(1, "ts", rows["ts"].to_numpy())
-    out.insert(2, "source_row_id", rows["source_row_id"].to_numpy())
-    yield out
+    out.insert(0, "ts", rows["ts"])
+    out.insert(1, "source_row_id", rows["source_row_id"])
+    return tuple(state.values()), out
+
 
+def detect_stream(stream: DataFrame, delay: str = "10 seconds", bucket_ms: int = 60_000) -> DataFrame:
+    """EWMA and CUSUM alarms per node, in event time, over a stream of (source_row_id, node_id, ts, metrics[, reset]).
 
-def detect_stream(stream: DataFrame) -> DataFrame:
-    """EWMA and CUSUM alarms per node over a stream of (source_row_id, node_id, ts, metrics)."""
-    timed = stream.withColumn("ts", stream["ts"].cast("timestamp"))
-    return timed.groupBy("node_id").applyInPandasWithState(_fold, RESULT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    Windows up to ``delay`` late are put in their place; the results do not depend on the order of arrival or on micro-batches.
+    """
+    return in_order(stream, _fold, _fresh, _STATE, RESULT, delay, bucket_ms=bucket_ms)

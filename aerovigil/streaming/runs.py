@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from aerovigil.functions.hashing import record_hash
 from aerovigil.session import shared_folder
 
+FILES = 256   #: Files that a micro-batch reads at most.
 
-def read_table(spark: SparkSession, pattern: str, schema=None) -> DataFrame:
-    """Stream of the parquet files that match a path pattern."""
+
+def read_table(spark: SparkSession, pattern: str, schema=None, files: int = FILES) -> DataFrame:
+    """Stream of the parquet files that match a path pattern, at most ``files`` of them in a micro-batch."""
     schema = schema or spark.read.parquet(pattern).schema
-    return spark.readStream.schema(schema).parquet(pattern)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(pattern)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -1,31 +1,31 @@
-"""Streaming trust per node: Beta counts and clamped trust in a handful of doubles."""
+"""Streaming trust per node: Beta counts and clamped trust in a handful of doubles, folded in event-time order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from aerovigil.operators.trust import ALPHA0, BETA0, apply_clamp, prefix_clamps
+from aerovigil.streaming.eventtime import in_order
 
 RESULT = "node_id string, source_row_id bigint, beta_trust double, clamped_trust double"
 _STATE = "alpha double, beta double, clamped double"
 
 
-def _fold(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-    alpha, beta, clamped = group.get if group.exists else (ALPHA0, BETA0, 1.0)
-    rows = pd.concat(list(parts)).sort_values(["ts", "source_row_id"])
-    a = alpha + rows["positive_evidence"].clip(lower=0).cumsum().to_numpy()
-    b = beta + rows["negative_evidence"].clip(lower=0).cumsum().to_numpy()
-    level = apply_clamp(clamped, *prefix_clamps(rows["trust_step"].to_numpy(dtype=float)))
-    group.update((float(a[-1]), float(b[-1]), float(level[-1])))
-    yield pd.DataFrame({"node_id": key[0], "source_row_id": rows["source_row_id"].to_numpy(),
-                        "beta_trust": a / (a + b), "clamped_trust": np.asarray(level)})
+def _fresh() -> tuple:
+    return float(ALPHA0), float(BETA0), 1.0
+
+
+def _fold(carried: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    alpha, beta, clamped = carried
+    a = alpha + rows["positive_evidence"].astype(float).clip(lower=0).fillna(0).cumsum().to_numpy()
+    b = beta + rows["negative_evidence"].astype(float).clip(lower=0).fillna(0).cumsum().to_numpy()
+    level = np.asarray(apply_clamp(clamped, *prefix_clamps(rows["trust_step"].to_numpy(dtype=float))))
+    out = pd.DataFrame({"source_row_id": rows["source_row_id"], "beta_trust": a / (a + b), "clamped_trust": level})
+    return (float(a[-1]), float(b[-1]), float(level[-1])), out
 
 
-def trust_stream(stream: DataFrame) -> DataFrame:
-    """Input: source_row_id, node_id, ts, positive_evidence, negative_evidence, trust_step."""
-    return stream.groupBy("node_id").applyInPandasWithState(_fold, RESULT, _STATE, "append", GroupStateTimeout.NoTimeout)
+def trust_stream(stream: DataFrame, delay: str = "10 seconds", bucket_ms: int = 60_000) -> DataFrame:
+    """Input: source_row_id, node_id, ts, positive_evidence, negative_evidence, trust_step. Rows up to ``delay`` late take their place."""
+    return in_order(stream, _fold, _fresh, _STATE, RESULT, delay, bucket_ms=bucket_ms)

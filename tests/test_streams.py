@@ -7,6 +7,8 @@ import pytest
 from aerovigil.plans import load_all
 from aerovigil.plans.registry import ORACLES, QUERIES
 from aerovigil.streaming import detectors as D
+from aerovigil.streaming import trust as T
+from aerovigil.streaming.eventtime import PROVIDER, ROCKSDB, run_to_end
 from aerovigil.streaming.runs import run_available
 
 
@@ -28,22 +30,67 @@ def test_detector_state_follows_the_definition():
         assert (got["ewma_alarms"] > 0) == alarm or got["ewma_alarms"] == 1
 
 
-def test_stream_equals_fold_over_each_node(spark, tmp_path):
+def _rows(n=120):
     rng = np.random.default_rng(10)
-    pdf = pd.DataFrame({"node_id": rng.choice(["a", "b"], 120), "source_row_id": np.arange(120), "snr_db": rng.normal(20, 5, 120),
-                        "mac_retry_count": rng.normal(5, 2, 120), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(120), unit="s")})
-    for i in range(3):  # three files in time order, one per micro-batch
-        spark.createDataFrame(pdf.iloc[i * 40:(i + 1) * 40]).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
-    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "p0")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p*"))
-    got = run_available(D.detect_stream(stream), "t").toPandas().set_index("source_row_id")
-    assert len(got) == 120
-    for _, g in pdf.groupby("node_id"):
+    return pd.DataFrame({"node_id": rng.choice(["a", "b"], n), "source_row_id": np.arange(n), "snr_db": rng.normal(20, 5, n),
+                         "mac_retry_count": rng.normal(5, 2, n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n) // 2, unit="s"),
+                         "reset": np.arange(n) % 41 == 40})
+
+
+def _stream(spark, folder, pdf, parts):
+    """One file, and so one micro-batch, per part."""
+    for i, part in enumerate(np.array_split(pdf, parts)):
+        spark.createDataFrame(part).coalesce(1).write.parquet(f"{folder}/p{i}")
+    return spark.readStream.schema(spark.read.parquet(f"{folder}/p0").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/p*")
+
+
+def _by_loop(pdf):
+    out = {}
+    for _, g in pdf.sort_values(["ts", "source_row_id"]).groupby("node_id"):
         state = D.fresh()
         for r in g.itertuples():
-            want = D.advance(state, {"snr_db": r.snr_db, "mac_retry_count": r.mac_retry_count})
-            assert got.at[r.source_row_id, "window_id"] == want["window_id"]
-            assert got.at[r.source_row_id, "jam_alarm"] == want["jam_alarm"]
-            assert got.at[r.source_row_id, "severity"] == want["severity"]
+            out[r.source_row_id] = D.advance(state, {"snr_db": r.snr_db, "mac_retry_count": r.mac_retry_count, "reset": r.reset})
+    return out
+
+
+@pytest.mark.parametrize("shuffled, bucket_ms", [(False, 7_000), (True, 7_000), (True, 60_000)])
+def test_stream_equals_fold_whatever_the_order_of_arrival(spark, tmp_path, shuffled, bucket_ms):
+    pdf = _rows()
+    stream = _stream(spark, tmp_path, pdf.sample(frac=1, random_state=3) if shuffled else pdf, 4)
+    got = run_to_end(stream, lambda s: D.detect_stream(s, "2 minutes", bucket_ms), "t").toPandas().set_index("source_row_id")
+    want = _by_loop(pdf)
+    assert sorted(got.index) == sorted(want)
+    for i, w in want.items():
+        for c in ("window_id", "jam_alarm", "severity", "cusum_alarms", "ewma_alarms"):
+            assert got.at[i, c] == w[c]
+        assert [dict(d.asDict() if hasattr(d, "asDict") else d) for d in got.at[i, "ewma_details"]] == w["ewma_details"]
+        assert len(got.at[i, "cusum_details"]) == 2
+
+
+def test_rows_come_out_as_the_watermark_passes_and_later_ones_are_dropped(spark, tmp_path):
+    """Without a closing row only passed buckets come out; a row behind the watermark of the batch before is dropped."""
+    pdf = _rows(80)
+    late = pdf.iloc[[0]].assign(source_row_id=999)
+    stream = _stream(spark, tmp_path, pd.concat([pdf.iloc[:40], pdf.iloc[40:], late]), 3)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    got = run_available(D.detect_stream(stream, "5 seconds", 10_000), "t").toPandas()
+    spark.conf.unset(PROVIDER)
+    seconds = (got["ts"] - pd.Timestamp("2024-01-01")).dt.total_seconds()
+    assert 0 < len(got) < 80 and seconds.max() < 30 and set(got["source_row_id"]) == set(pdf["source_row_id"][pdf.index // 2 < 30])
+
+
+def test_trust_stream_equals_loop_on_shuffled_files(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    pdf = _rows().assign(positive_evidence=rng.integers(0, 5, 120).astype(float), negative_evidence=rng.integers(0, 5, 120).astype(float),
+                         trust_step=rng.choice([0.01, -0.05, -0.4], 120))
+    got = run_to_end(_stream(spark, tmp_path, pdf.sample(frac=1, random_state=1), 3), lambda s: T.trust_stream(s, "2 minutes", 9_000), "t")
+    got = got.toPandas().set_index("source_row_id")
+    for _, g in pdf.groupby("node_id"):
+        a, b, c = 5.0, 1.0, 1.0
+        for r in g.sort_values(["ts", "source_row_id"]).itertuples():
+            a, b, c = a + r.positive_evidence, b + r.negative_evidence, min(1.0, max(0.0, c + r.trust_step))
+            assert got.at[r.source_row_id, "beta_trust"] == pytest.approx(a / (a + b))
+            assert got.at[r.source_row_id, "clamped_trust"] == pytest.approx(c)
 
 
 def test_registry_is_complete_and_oracles_have_queries():
