@@ -30,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever its case."""
+    held = {c.lower() for c in taken}
+    while wanted.lower() in held:
+        wanted += "_"
+    return wanted
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
