@@ -3,7 +3,8 @@
 Index: postings (term, item, impact) with BM25 impacts divided by the item's score for itself, so a score is the weighted share
 of the item that a passage holds. Items lie in blocks; each term keeps its largest impact per block.
 
-Query: passages are overlapping windows of words, long enough that any item lies whole in one. Terms so common that together
+Query: passages are overlapping windows of words, long enough that any item lies whole in one. Their width follows from the item's
+own length (its power-of-two class) alone, so what is found of an item does not depend on the other items. Terms so common that together
 they stay below the threshold only add to a bound. For the other terms the block maxima are summed per (passage, block);
 blocks that cannot reach the threshold are skipped, as in block-max WAND, and only the postings of the rest are read. All
 items at or above the threshold are returned. A hit counts if the passage also holds enough of the item's question (word
@@ -14,7 +15,7 @@ where fewer than ``QUESTION_WORDS`` words come before).
 
 Defined results: null or empty texts and items hit nothing; a text is searched whole; repeated rows and items are each
 reported; equal scores are all returned; with no items nothing is a hit; an added or kept column of a clashing name is the
-input's own. The index is sent out in portions of at most ``ITEMS`` items; the statistics are those of all items.
+input's own. The index is sent out in portions of about ``ITEMS`` items, one after the other; the statistics are those of all items.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def postings(items: DataFrame, text: str = "_text") -> DataFrame:
 
 
 def build(rows: list, posted, threshold: float, passage: int) -> Index:
-    """Index of one portion: ``rows`` of (_item, id, text, question, answer) and its postings with impacts."""
+    """Index of items searched in passages of one width: ``rows`` of (_item, id, text, question, answer) and their postings with impacts."""
     number = {r["_item"]: i for i, r in enumerate(rows)}
     item = np.array([number[i] for i in posted["item"].to_pylist()], np.int64)
     term = np.array(posted["term"].to_pylist(), np.int64).view(np.uint64)
@@ -132,11 +133,10 @@ def build(rows: list, posted, threshold: float, passage: int) -> Index:
     size = [min(GRAM, len(w)) for w in asked]
     question = list(zip(size, map(_grams, asked, size)))
     answer = [np.unique(w) for w in _terms([a or q or "" for q, a in parts])]
-    longest = max((int(x) for x in posted["length"].to_pylist()), default=1)
     return Index([r["id"] for r in rows], terms, np.append(start, len(term)), item, impact, heavy, rest,
                  np.searchsorted(owner[first], np.arange(len(terms) + 1)), item[first] // BLOCK,
                  np.maximum.reduceat(impact, first) if len(first) else np.empty(0), first, np.append(first[1:], len(key)), block_rest,
-                 question, answer, max(passage, 2 * longest))
+                 question, answer, passage)
 
 
 def _expand(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,10 +215,13 @@ def _search(index: Index, word, row, n, threshold):
 def hits(index: Index, column: pa.Array, threshold: float, question: float, answer: float) -> dict[tuple[int, int], list[float]]:
     """(row, item number) to score, question share and answer share, for verified hits: the best passage of each."""
     data, offsets = K.utf8(lowered(column))
-    word, row = K.word_hashes(data, offsets, K.SIGNS)
-    base = np.searchsorted(row, np.arange(len(offsets)))
+    return _hits(index, *K.word_hashes(data, offsets, K.SIGNS), len(offsets) - 1, threshold, question, answer)
+
+
+def _hits(index: Index, word, row, n, threshold, question, answer):
+    base = np.searchsorted(row, np.arange(n + 1))
     out: dict[tuple[int, int], list[float]] = {}
-    for r, i, score, first, last in _search(index, word, row, len(offsets) - 1, threshold):
+    for r, i, score, first, last in _search(index, word, row, n, threshold):
         held = word[base[r] + first:base[r] + last]
         (size, asked), told = index.question[i], index.answer[i]
         q = np.isin(asked, _grams(held, size)).mean() if len(asked) else 0.0
@@ -229,9 +232,17 @@ def hits(index: Index, column: pa.Array, threshold: float, question: float, answ
     return out
 
 
-def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", threshold: float = THRESHOLD, passage: int = 64,
-            portion: int = ITEMS) -> list[Index]:
-    """Indexes over portions of the items, with the statistics of all items."""
+def found_in(portion: list[Index], column: pa.Array, threshold: float, question: float, answer: float) -> list[tuple]:
+    """(row, item id, score, question share, answer share) of every hit of a portion's items."""
+    data, offsets = K.utf8(lowered(column))
+    word, row = K.word_hashes(data, offsets, K.SIGNS)
+    return [(r, index.ids[i], *values) for index in portion
+            for (r, i), values in _hits(index, word, row, len(offsets) - 1, threshold, question, answer).items()]
+
+
+def portions(items: DataFrame, item_id: str = "item_id", text: str = "text", threshold: float = THRESHOLD, passage: int = 64,
+             portion: int = ITEMS) -> Iterator[list[Index]]:
+    """Indexes of one portion of the items after the other, an index per passage width, with the statistics of all items."""
     parts = [F.col(c) if c in items.columns else F.lit(None).cast("string") for c in ("question", "answer")]
     whole = F.col(text) if text in items.columns else F.concat_ws("\n", *parts)
     rows = durable(items.select(F.monotonically_increasing_id().alias("_item"), F.col(item_id).alias("id"), whole.alias("_text"),
@@ -239,19 +250,26 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", thre
     posted = postings(rows)
     stats = posted.select("item", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     if not stats.n:
-        return []
+        return
     often = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / stats.mean))
-    posted = posted.join(often, "term").select("term", "item", "length", impact.alias("impact"))
+    posted = durable(posted.join(often, "term").select("term", "item", "length", impact.alias("impact")))
     count = -(-stats.n // portion)
-    out = []
-    for k in range(count):  # one portion at a time: at most about ``portion`` items reach the driver
+    for k in range(count):  # one portion at a time: about ``portion`` items reach the driver
         mine = F.pmod(F.hash(F.lit(7), F.col("_item")), F.lit(count)) == k
         some = rows.filter(mine).select("_item", "id", F.col("_text").alias("text"), "question", "answer").orderBy("id", "_item").collect()
         got = posted.filter(F.pmod(F.hash(F.lit(7), F.col("item")), F.lit(count)) == k).toArrow()
-        out.append(build(some, got, threshold, passage))
-    return out
+        length = dict(zip(got["item"].to_pylist(), got["length"].to_pylist()))
+        width = {i: max(passage, 2 << (n - 1).bit_length()) for i, n in length.items()}
+        each = np.array([width[i] for i in got["item"].to_pylist()], np.int64)
+        yield [build([r for r in some if width.get(r["_item"]) == w], got.filter(pa.array(each == w)), threshold, w)
+               for w in sorted(set(width.values()))]
+
+
+def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", threshold: float = THRESHOLD, passage: int = 64,
+            portion: int = ITEMS) -> list[Index]:
+    return [index for some in portions(items, item_id, text, threshold, passage, portion) for index in some]
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
@@ -259,33 +277,47 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each document row and item found in it."""
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType),
                            *(T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))])
-    spark, out = docs.sparkSession, None
-    for index in indexes(items, item_id, text, threshold, portion=portion):
-        sent = spark.sparkContext.broadcast(index)
+    spark, done = docs.sparkSession, []
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def search_with(some: list[Index]) -> tuple[DataFrame, object]:
+        sent = spark.sparkContext.broadcast(some)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in K.slices(batches, text):
-                found = hits(sent.value, part.column(text), threshold, question, answer)
+                found = found_in(sent.value, part.column(text), threshold, question, answer)
                 if found:
-                    ids = part.column(doc_id).take(pa.array([r for r, _ in found], pa.int64()))
-                    named = pa.array([sent.value.ids[i] for _, i in found])
-                    yield pa.RecordBatch.from_arrays([ids, named, *(pa.array(v) for v in map(list, zip(*found.values())))], schema.fieldNames())
-
-        got = docs.select(doc_id, text).mapInArrow(run, schema)
-        out = got if out is None else out.unionByName(got)
-    return spark.createDataFrame([], schema) if out is None else out
+                    row, named, *values = map(list, zip(*found))
+                    yield pa.RecordBatch.from_arrays([part.column(doc_id).take(pa.array(row, pa.int64())), pa.array(named), *map(pa.array, values)],
+                                                     schema.fieldNames())
+
+        return docs.select(doc_id, text).mapInArrow(run, schema), sent
+
+    held = None
+    for some in portions(items, item_id, text, threshold, portion=portion):
+        if held is not None:  # more than one portion: each is searched, written and let go before the next is built
+            done.append(durable(held[0]))
+            held[1].destroy()
+        held = search_with(some)
+    out = spark.createDataFrame([], schema) if held is None else held[0]
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", threshold: float = THRESHOLD,
           question: float = QUESTION, answer: float = ANSWER, portion: int = ITEMS) -> DataFrame:
     """``docs`` without the rows that hold a test item; one pass per portion of items, no shuffle."""
-    for index in indexes(items, item_id, text, threshold, portion=portion):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = None
+    for some in portions(items, item_id, text, threshold, portion=portion):
+        if sent is not None:
+            docs = durable(docs)
+            sent.destroy()
+        sent = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for part in K.slices(batches, text):
                 keep = np.ones(part.num_rows, bool)
-                keep[[r for r, _ in hits(sent.value, part.column(text), threshold, question, answer)]] = False
+                keep[[r for r, *_ in found_in(sent.value, part.column(text), threshold, question, answer)]] = False
                 yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -71,3 +71,29 @@ def test_no_items_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.clean(docs, none).count() == 1
     assert decontaminate.leaks(docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_a_hit_does_not_depend_on_other_items(spark):
+    """The triples of a short item lie scattered over a long text; a long item beside it does not widen the short one's passages."""
+    short = "what is the old name of the tall grey hill in the north? it is misty peak."
+    words = short.replace("?", "").replace(".", "").split()
+    rng = np.random.default_rng(2)
+    filler = [f"w{i}" for i in range(3000)]
+    spread = []
+    for i in range(0, len(words) - 2, 3):
+        spread += list(rng.choice(filler, 400)) + words[i:i + 3]
+    docs = spark.createDataFrame([(1, " ".join(spread)), (2, f"some words {short} and more")], "doc_id long, text string")
+    long = " ".join(rng.choice(filler[:1500], 1500)) + "? the end."
+    for items in ([(1, short)], [(1, short), (2, long)]):
+        got = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+        assert [(r.doc_id, r.item_id) for r in got.collect()] == [(2, 1)]
+
+
+def test_every_portion_and_width_is_searched(spark):
+    docs, items, planted = make(5)
+    rng = np.random.default_rng(5)
+    wide = [(200 + i, " ".join(f"x{i}y{k}" for k in rng.permutation(n)) + "? so it is.") for i, n in enumerate((30, 70, 200, 900))]
+    extra = [(500 + i, f"before {t} after") for i, (_, t) in enumerate(wide)]
+    got = decontaminate.leaks(spark.createDataFrame(docs + extra, "doc_id long, text string"),
+                              spark.createDataFrame(items + wide, "item_id long, text string"), portion=9)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == planted | {(500 + i, 200 + i) for i in range(4)}
