@@ -388,6 +388,7 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, vec_id: str = "vec_id
             if not n:
                 continue
             a, b = (_flat(batch.column(c))[0].reshape(n, -1) for c in ("a", "b"))
+            a, b = (x / np.abs(x).max(1, keepdims=True) for x in (a, b))  # squares neither overflow nor vanish
             value = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
             yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("ids"), pa.array(value)], ["q", "ids", "score"])
 

@@ -57,3 +57,12 @@ def test_near_copies_are_told_apart(spark):
         want = [i for i in np.argsort(far, kind="stable") if i != q][:5]
         right.setdefault((q >= 100) + int(q >= 200) + (q >= 600), []).append(len(found[q] & set(want)) / 5)
     assert all(np.mean(x) >= 0.95 for x in right.values()), {g: float(np.mean(x)) for g, x in right.items()}
+
+
+def test_extreme_magnitudes_have_true_cosines(spark):
+    made = [(0, [1e200, 0.0]), (1, [2e-200, 1e-200]), (2, [0.0, 3.0]), (3, [-1e300, 1e300])]
+    rows = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in neighbours.nearest(rows, rows, k=3).collect()}
+    unit = {i: np.array(v) / max(map(abs, v)) for i, v in made}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    assert len(got) == 12 and all(abs(s - unit[a] @ unit[b]) < 1e-12 for (a, b), s in got.items())
