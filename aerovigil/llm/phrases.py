@@ -1,13 +1,15 @@
 """Frequent phrases and their collocation score by Rabin-Karp fingerprints.
 
-1. Each slice's words are laid out with one blank between them. The fingerprint of every run of up to ``longest`` words within a piece
-   is a difference of two values of one prefix polynomial, mixed with the language and the number of words. Tasks add up equal
-   fingerprints before the shuffle, which adds up the whole table; only those with ``least`` occurrences or more are kept. A phrase
-   that is frequent has a frequent fingerprint, so none is lost here.
-2. A second pass looks the fingerprints up in a bit map of the kept ones (sized by their number). For those it follows a pointer to
-   one occurrence, compares the text of every other occurrence with the text there, and gives occurrences that differ a pointer of
-   their own. Only these phrases are materialised; the shuffle adds them up by text, with the smallest pointer. Two phrases that share
-   a fingerprint, or a false hit of the bit map, are thus told apart by their text and counted exactly.
+1. Each slice's words are laid out with one blank between them. The fingerprint of a run of words within a piece is a difference of
+   two values of one prefix polynomial, mixed with the language and the number of words. Level by level - one word, two, and so on -
+   tasks add up equal fingerprints before the shuffle, which adds up the whole table; those with ``least`` occurrences or more are
+   kept as a bit map (sized by their number, 8 MB at most). The next level takes only runs whose two shorter runs are on the map, so
+   the many runs that cannot be frequent are never exchanged. A frequent phrase has frequent parts and a frequent fingerprint, so
+   none is lost.
+2. A last pass looks the runs up in the maps. For those found it follows a pointer to one occurrence, compares the text of every
+   other occurrence with the text there, and gives occurrences that differ a pointer of their own. Only these phrases are
+   materialised; the shuffle adds them up by text. Two phrases that share a fingerprint, and false hits of a map, are thus told apart
+   by their text and counted exactly.
 3. Parts, containing phrases and scores are joins of the table of frequent phrases. Every part of a frequent phrase is frequent
    itself. Scores use 38-digit decimals.
 
@@ -34,7 +36,7 @@ from aerovigil.llm.frames import bit_filter
 from aerovigil.session import durable, small_side
 
 LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2000
-HELD = 1_500_000                #: Distinct fingerprints that a task combines before it sends them on.
+HELD = 600_000                  #: Distinct fingerprints that a task combines before it sends them on.
 FILTER_BITS = (16, 26)          #: Bounds of the bit map's size: 8 KB to 8 MB.
 NO_LANGUAGE = "und"
 
@@ -60,7 +62,6 @@ class Slice:
         at = np.ones(len(self.data), bool)
         at[self.end] = False
         self.data[at] = data[keep]
-        self.source = start
         self.piece = np.searchsorted(np.flatnonzero(_PIECE[data]), start) + row  # grows from piece to piece and from row to row
         self.prefix = K.prefix_hash(self.data)
         names = pa.array([NO_LANGUAGE] * self.n_rows) if lang is None else pc.fill_null(part.column(lang), NO_LANGUAGE)
@@ -88,11 +89,14 @@ class Slice:
         return pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(self.data[at])])
 
 
-def fingerprints(docs: DataFrame, longest: int, lang: str | None, text: str) -> DataFrame:
-    """(print, times) of every run of words in the table."""
-    def emit(key: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([K.to_long(key), pa.array(times)], ["print", "times"])
+def hits(packed: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the low bits of each key are set in a packed bit map."""
+    low = (key & np.uint64(8 * len(packed) - 1)).astype(np.int64)
+    return (packed[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
 
+
+def fingerprints(docs: DataFrame, size: int, shorter, lang: str | None, text: str) -> DataFrame:
+    """(print, times) of the runs of ``size`` words whose two runs of one word less are on the broadcast map ``shorter``."""
     def merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         key, at = np.unique(np.concatenate(keys), return_inverse=True)
         return key, np.bincount(at, np.concatenate(times), len(key)).astype(np.int64)
@@ -101,7 +105,13 @@ def fingerprints(docs: DataFrame, longest: int, lang: str | None, text: str) ->
         keys, times, waiting, seen = [], [], 0, 0
         for part in K.slices(batches, text):
             words = Slice(part, text, lang)
-            key, n = np.unique(np.concatenate([words.runs(size)[1] for size in range(1, longest + 1)]), return_counts=True)
+            first, key = words.runs(size)
+            if shorter is not None:
+                begin, less = words.runs(size - 1)
+                often = np.zeros(len(words.start) + 1, bool)
+                often[begin] = hits(np.frombuffer(shorter.value, np.uint8), less)
+                key = key[often[first] & often[first + 1]]
+            key, n = np.unique(key, return_counts=True)
             keys.append(key)
             times.append(n.astype(np.int64))
             waiting += len(key)
@@ -109,51 +119,43 @@ def fingerprints(docs: DataFrame, longest: int, lang: str | None, text: str) ->
                 key, n = merged(keys, times)
                 keys, times, seen, waiting = [key], [n], len(key), len(key)
                 if seen > HELD:
-                    yield emit(key, n)
+                    yield pa.RecordBatch.from_arrays([K.to_long(key), pa.array(n)], ["print", "times"])
                     keys, times, seen, waiting = [], [], 0, 0
         if keys:
-            yield emit(*merged(keys, times))
+            key, n = merged(keys, times)
+            yield pa.RecordBatch.from_arrays([K.to_long(key), pa.array(n)], ["print", "times"])
 
     columns = [text] if lang is None else list(dict.fromkeys([text, lang]))
-    return docs.select(*columns).mapInArrow(run, "print long, times long").groupBy("print").agg(F.sum("times").alias("times"))
+    found = docs.select(*columns).mapInArrow(run, "print long, times long")
+    return found.repartition("print").groupBy("print").agg(F.sum("times").alias("times"))  # tasks have added up their own
 
 
-def _occurrences(docs: DataFrame, sent, bits: int, longest: int, lang: str | None, text: str, doc_id: str) -> DataFrame:
-    """(lang, size, phrase, f, pointer) per slice for runs whose fingerprint is in the map; size 0 counts all words of the slice."""
-    kind = docs.schema[doc_id].dataType
-    pointer = T.StructType([T.StructField("doc", kind), T.StructField("byte", T.LongType())])
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("size", T.IntegerType()),
-                           T.StructField("phrase", T.StringType()), T.StructField("f", T.LongType()), T.StructField("pointer", pointer)])
-    mask = np.uint64((1 << bits) - 1)
+def _occurrences(docs: DataFrame, maps: list, lang: str | None, text: str, doc_id: str) -> DataFrame:
+    """(lang, size, phrase, f, example) per slice for runs whose fingerprint is on the map; size 0 counts all words of the slice."""
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("phrase", T.StringType()),
+                           T.StructField("f", T.LongType()), T.StructField("example", docs.schema[doc_id].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for part in K.slices(batches, text):
             words = Slice(part, text, lang)
             names, ids = pa.array(words.names, pa.string()), part.column(doc_id)
-            begin = K.utf8(part.column(text))[1]
             total = np.bincount(words.lang, minlength=len(words.names))
-            out = [(np.arange(len(names)), 0, pa.array([""] * len(names), pa.string()), total, None)]
-            for size in range(1, longest + 1):
+            out = [(np.arange(len(names)), 0, pa.array([""] * len(names), pa.string()), total, pa.nulls(len(names), ids.type))]
+            for size, sent in enumerate(maps, 1):
                 first, key = words.runs(size)
-                hit = flags[(key & mask).astype(np.int64)]
+                hit = hits(np.frombuffer(sent.value, np.uint8), key)
                 first, key = first[hit], key[hit]
                 while len(first):
-                    _, at, group, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                    _, at, group = np.unique(key, return_index=True, return_inverse=True)  # ``at`` points to one occurrence of each
                     shown = words.texts(first, size)
                     same = pc.equal(shown, shown.take(pa.array(at[group]))).to_numpy(zero_copy_only=False)
                     same &= words.lang[first] == words.lang[first[at[group]]]
                     out.append((words.lang[first[at]], size, shown.take(pa.array(at)).cast(pa.string()),
-                                times if same.all() else np.bincount(group[same], minlength=len(at)), first[at]))
+                                np.bincount(group[same], minlength=len(at)), ids.take(pa.array(words.row[first[at]]))))
                     first, key = first[~same], key[~same]
-            for code, size, shown, times, first in out:
-                if first is None:
-                    where = pa.nulls(len(code), pa.struct([("doc", ids.type), ("byte", pa.int64())]))
-                else:
-                    row = words.row[first]
-                    where = pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(words.source[first] - begin[row])], ["doc", "byte"])
+            for code, size, shown, times, example in out:
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(code)), pa.array(np.full(len(code), size, np.int32)), shown,
-                                                  pa.array(times.astype(np.int64)), where], schema.fieldNames())
+                                                  pa.array(times.astype(np.int64)), example], schema.fieldNames())
 
     columns = [doc_id, text] if lang is None else [doc_id, text, lang]
     return docs.select(*dict.fromkeys(columns)).mapInArrow(run, schema)
@@ -161,22 +163,24 @@ def _occurrences(docs: DataFrame, sent, bits: int, longest: int, lang: str | Non
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang: str | None = "lang", text: str = "text",
                      doc_id: str = "doc_id") -> DataFrame:
-    """(lang, size, phrase, f, pointer) of all runs of 1 to ``longest`` words with ``least`` occurrences or more.
+    """(lang, size, phrase, f, example) of all runs of 1 to ``longest`` words with ``least`` occurrences or more.
 
-    ``pointer`` names an occurrence: a document and the byte of its text where the phrase starts. A row of size 0 per language has the
-    number of all its words.
+    ``example`` names a document that holds the phrase. A row of size 0 per language has the number of all its words.
     """
-    often = durable(fingerprints(docs, longest, lang, text).filter(F.col("times") >= least).select("print"))
-    bits = min(max(FILTER_BITS[0], (16 * often.count()).bit_length()), FILTER_BITS[1])
-    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(often, "print", bits))
-    held = _occurrences(docs, sent, bits, longest, lang, text, doc_id)
-    found = held.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"), F.min("pointer").alias("pointer"))
+    maps: list = []
+    for size in range(1, longest + 1):
+        prints = fingerprints(docs, size, maps[-1] if maps else None, lang, text)
+        often = durable(prints.filter(F.col("times") >= least).select("print"))
+        bits = min(max(FILTER_BITS[0], (16 * often.count()).bit_length()), FILTER_BITS[1])
+        maps.append(docs.sparkSession.sparkContext.broadcast(bit_filter(often, "print", bits)))
+    held = _occurrences(docs, maps, lang, text, doc_id)
+    found = held.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"), F.min("example").alias("example"))
     return durable(found.filter((F.col("f") >= least) | (F.col("size") == 0)))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered: int = COVERED, top: int = TOP,
                  lang: str | None = "lang", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score, pointer): each language's best phrases of two or more words.
+    """(lang, rank, phrase, a, l, r, n, score, example): each language's best phrases of two or more words.
 
     A phrase is cut in two wherever the score ``floor(1000000 a a / (l r))`` is lowest, and dropped if it stands inside a longer phrase
     that has at least ``covered`` percent of its occurrences.
@@ -184,7 +188,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
     held = frequent_phrases(docs, least, longest, lang, text, doc_id)
     counts = held.filter("size > 0").select("lang", "phrase", "f")
     words = F.split("phrase", " ")
-    phrases = held.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), "pointer")
+    phrases = held.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), "example")
 
     # A longer phrase covers a shorter one through a chain of phrases, each one word longer, whose counts only fall; so each phrase
     # needs the largest count of the phrases one word longer alone.
@@ -205,10 +209,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
                    " div (cast(l as decimal(38,0)) * cast(r as decimal(38,0)))").cast("long")
     cut = cut.withColumn("score", score)
     lowest = F.min_by(F.struct("l", "r", "score"), F.struct("score", "k")).alias("cut")
-    best = cut.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.first("pointer").alias("pointer"), lowest)
-    best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "pointer")
+    best = cut.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.first("example").alias("example"), lowest)
+    best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "example")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     total = held.filter("size = 0").select("lang", F.col("f").alias("n"))
     return best.join(small_side(total), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score",
-                                                       "pointer")
+                                                       "example")

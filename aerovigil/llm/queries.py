@@ -153,4 +153,4 @@ select r.lang, rank, phrase, a, l, r.r, n, score::bigint as score from ranked r
 
 @query(_PHRASE_SQL)
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.collocations(table(spark, sf_dir, "documents")).drop("pointer")
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("example")
