@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 
 from aerovigil.llm import textkit as K
 
-KNOWN_UNITS, KNOWN_IDS = 200_000, 4_000_000   #: What a worker remembers; beyond either it starts anew.
+KNOWN_UNITS, KNOWN_IDS = 300_000, 6_000_000   #: What a worker remembers; beyond either it forgets units met in one slice only.
+JOINED = 4_000                                #: Units encoded as one text.
 LONG_UNIT = 64                                #: Bytes above which a unit is cut further for sentencepiece alone.
 SIGN = "▁"                               #: White space in sentencepiece's vocabulary.
 _BLANKS = np.array([9, 10, 11, 12, 13, 32])
@@ -128,7 +129,14 @@ class Pool:
 
     def add(self, lists: list[list[int]]) -> None:
         size = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
+        self.keep(np.fromiter((i for x in lists for i in x), np.int32, int(size.sum())), size)
+
+    def back_to(self, n: int) -> None:
+        """Forget all but the first ``n`` lists."""
+        if n < self.n:
+            self.n, self.used = n, int(self.first[n])
+
+    def keep(self, flat: np.ndarray, size: np.ndarray) -> None:
         while self.n + len(size) > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(flat) > len(self.ids):
@@ -156,19 +164,63 @@ class Both:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids_a, self.ids_b, self.whole = Pool(), Pool(), np.zeros(1024, bool)
+        self.ids_a, self.ids_b = Pool(), Pool()
+        self.whole, self.uses = np.zeros(1024, bool), np.zeros(1024, np.int32)
+
+    def make_room(self) -> None:
+        """Forget what only one slice held, or everything if that leaves too little room."""
+        if len(self.known) <= KNOWN_UNITS and self.ids_a.used + self.ids_b.used <= KNOWN_IDS:
+            return
+        kept = np.flatnonzero(self.uses[:len(self.known)] > 1)
+        names, whole, old = list(self.known), self.whole[kept], (self.ids_a, self.ids_b)
+        self.forget()
+        if len(kept) > KNOWN_UNITS // 2 or sum(int(p.size[kept].sum()) for p in old) > KNOWN_IDS // 2:
+            return
+        for new, pool in zip((self.ids_a, self.ids_b), old):
+            new.keep(*pool.take(kept))
+        self._name([names[i] for i in kept.tolist()], whole)
 
     def learn(self, new: list[bytes]) -> None:
-        texts = [u.decode() for u in new]
-        a, b = self.a.encode(texts), self.b.encode(texts)
+        """Ids of units not met before. Units that start with a blank and end with an ASCII sign or letter are encoded many at a time,
+        as one text, whose cuts stand where one unit meets the next; the others one by one."""
+        plain = [32 < u[-1] < 127 and self.b.starts[u[0]] for u in new]
+        for at in range(0, len(new), JOINED):
+            some, flags = new[at:at + JOINED], plain[at:at + JOINED]
+            self.add_joined([u for u, p in zip(some, flags) if p])
+            self.add_each([u for u, p in zip(some, flags) if not p])
+
+    def _name(self, units: list[bytes], whole) -> None:
         at = len(self.known)
-        while at + len(new) > len(self.whole):
-            self.whole = np.resize(self.whole, 2 * len(self.whole))
-        self.whole[at:at + len(new)] = [b"".join(map(self.a.bytes.__getitem__, x)) == u and b"".join(map(self.b.bytes.__getitem__, y)) == u
-                                        for u, x, y in zip(new, a, b)]
+        while at + len(units) > len(self.whole):
+            self.whole, self.uses = np.resize(self.whole, 2 * len(self.whole)), np.resize(self.uses, 2 * len(self.uses))
+        self.whole[at:at + len(units)], self.uses[at:at + len(units)] = whole, 0
+        self.known.update(zip(units, range(at, at + len(units))))
+
+    def add_joined(self, units: list[bytes]) -> None:
+        if not units:
+            return
+        raw, stop = b"".join(units), np.cumsum([len(u) for u in units])
+        text = raw.decode()
+        for model, pool in ((self.a, self.ids_a), (self.b, self.ids_b)):
+            ids = np.array(model.encode([text])[0], np.int32)
+            end = np.cumsum(model.length[ids])
+            last = np.searchsorted(end, stop)
+            if not len(end) or end[-1] != len(raw) or (end[last] != stop).any() or b"".join(map(model.bytes.__getitem__, ids.tolist())) != raw:
+                break
+            pool.keep(ids, np.diff(np.append(-1, last)))
+        else:
+            self._name(units, True)
+            return
+        self.ids_a.back_to(len(self.known))
+        self.add_each(units)
+
+    def add_each(self, units: list[bytes]) -> None:
+        texts = [u.decode() for u in units]
+        a, b = self.a.encode(texts), self.b.encode(texts)
         self.ids_a.add(a)
         self.ids_b.add(b)
-        self.known.update(zip(new, range(at, at + len(new))))
+        self._name(units, [b"".join(map(self.a.bytes.__getitem__, x)) == u and b"".join(map(self.b.bytes.__getitem__, y)) == u
+                           for u, x, y in zip(units, a, b)])
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of A, row of each, ids of B, row of each) of the texts with a blank before them; none for a text that either
@@ -180,12 +232,13 @@ class Both:
             return *none, *none
         coded = pc.dictionary_encode(spans(data, start, end))
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > KNOWN_UNITS or self.ids_a.used + self.ids_b.used > KNOWN_IDS:
-            self.forget()
+        self.make_room()
         new = [u for u in distinct if u not in self.known]
         if new:
             self.learn(new)
-        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.uses[number] += 1
+        number = number[coded.indices.to_numpy()]
         broken = np.zeros(len(offsets) - 1, bool)
         broken[row[~self.whole[number]]] = True
         number, row = number[~broken[row]], row[~broken[row]]
