@@ -54,6 +54,24 @@ def build(df: DataFrame, item: str, shape: BloomShape) -> DataFrame:
             .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap")))
 
 
+def build_by(df: DataFrame, keys: list[str], item: str, shape: BloomShape) -> DataFrame:
+    """(keys, block, bitmap): a filter per key, for instance per time window. Filters of one shape merge by ``merge``."""
+    bits = (df.select(*keys, F.col(item).alias("item")).where(F.col("item").isNotNull()).distinct()
+            .select(*keys, F.explode(bit_positions(F.col("item"), shape)).alias("bit")))
+    return (bits.groupBy(*keys, F.expr("bitmap_bucket_number(bit)").alias("block"))
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap")))
+
+
+def merge(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The filter of everything that the given filters hold, per key or as a whole: their bitmaps or-ed, no item is read again."""
+    return blocks.groupBy(*(keys or []), "block").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
+
+
+def summary_by(df: DataFrame, keys: list[str], item: str, shape: BloomShape) -> DataFrame:
+    """``summary`` per key."""
+    return _described(df.groupBy(*keys).agg(F.count(item).alias("items_added")), shape, keys)
+
+
 def probe(df: DataFrame, item: str, blocks: DataFrame, shape: BloomShape) -> DataFrame:
     """(item, maybe_present) for every distinct item of ``df``."""
     items = df.select(F.col(item).alias("item")).where(F.col("item").isNotNull()).distinct()
@@ -68,9 +86,12 @@ def probe(df: DataFrame, item: str, blocks: DataFrame, shape: BloomShape) -> Dat
 
 def summary(df: DataFrame, item: str, shape: BloomShape) -> DataFrame:
     """Shape, items added (repeats included) and the expected false-positive rate."""
-    added = df.agg(F.count(item).alias("items_added"))
+    return _described(df.agg(F.count(item).alias("items_added")), shape, [])
+
+
+def _described(added: DataFrame, shape: BloomShape, keys: list[str]) -> DataFrame:
     rate = F.pow(1 - F.exp(-shape.hashes * F.col("items_added") / shape.bits), F.lit(shape.hashes))
-    return added.select(F.lit(shape.capacity).alias("capacity"), F.lit(shape.error_rate).alias("error_rate"),
+    return added.select(*keys, F.lit(shape.capacity).alias("capacity"), F.lit(shape.error_rate).alias("error_rate"),
                         F.lit(shape.bits).alias("m_bits"), F.lit(shape.hashes).alias("k_hashes"), "items_added",
                         F.when(F.col("items_added") == 0, F.lit(0.0)).otherwise(F.round(rate, 6)).alias("estimated_fpr"),
                         F.lit(math.ceil(shape.bits / 8)).alias("memory_bytes"))

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from aerovigil.functions import scalars as S
 from aerovigil.functions.hashing import pseudonym
+from aerovigil.operators import membership
 from aerovigil.operators.quantiles import grouped_quantiles
 
+SOURCE_FILTER = membership.BloomShape.for_capacity(5_000, 0.01)   #: Fixed values: shape of a traffic sketch's source filter.
+LOG_K = 12                                                        #: Registers of a distinct sketch, as a power of two.
+
 _TRAFFIC = {"pps": "packets_per_second", "bps": "bytes_per_second", "syn_rate": "syn_packet_rate",
             "src_entropy": "src_ip_entropy"}
 _RADIO = {"snr_db": 0.0, "noise_floor_dbm": -90.0, "bit_error_rate": 0.0, "packet_delivery_ratio": 1.0,
@@ -51,3 +55,28 @@ def radio_sketch(df: DataFrame, seconds: float = 10.0, digits: int | None = 4) -
           for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))],
         F.count_if(channel_change(S.with_default(df, "rf_action_taken", ""))).alias("channel_switch_events"),
         F.count_if(S.with_default(df, "lte_fallback_active", False)).alias("lte_fallback_events"))
+
+
+def source_filters(df: DataFrame, seconds: float = 10.0, item: str = "node_id") -> tuple[DataFrame, DataFrame]:
+    """(filter summary per window, filter blocks per window): what a traffic sketch tells of its sources. Blocks of any windows
+    merge into the filter of their whole time by ``membership.merge``."""
+    keyed = df.select(S.bucket_start(F.col("ts"), seconds).alias("window_start"), F.coalesce(F.col(item).cast("string"), F.lit("")).alias(item))
+    return (membership.summary_by(keyed, ["window_start"], item, SOURCE_FILTER),
+            membership.build_by(keyed, ["window_start"], item, SOURCE_FILTER))
+
+
+def distinct_sketches(df: DataFrame, item: str, seconds: float = 10.0, log_k: int = LOG_K) -> DataFrame:
+    """(window_start, sketch, rows): a HyperLogLog sketch of the distinct items per window, 2^log_k bytes or fewer, partially aggregated."""
+    keyed = df.select(S.bucket_start(F.col("ts"), seconds).alias("window_start"), F.col(item).cast("string").alias("item"))
+    return keyed.groupBy("window_start").agg(F.hll_sketch_agg("item", log_k).alias("sketch"), F.count("*").alias("rows"))
+
+
+def roll_up(sketches: DataFrame, seconds: float | None = None) -> DataFrame:
+    """Sketches merged into longer windows, or into one row without ``seconds``; the items are not read again."""
+    keys = [] if seconds is None else [(F.col("window_start") - F.pmod("window_start", F.lit(int(seconds * 1e6)))).alias("window_start")]
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("rows").alias("rows"))
+
+
+def distinct_bound(log_k: int = LOG_K, deviations: float = 3.0) -> float:
+    """Largest relative error of an estimate, ``deviations`` standard errors of HyperLogLog."""
+    return deviations * 1.04 / 2 ** (log_k / 2)

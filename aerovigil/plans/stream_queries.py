@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from aerovigil.functions.hashing import record_hash
+from aerovigil.operators import ledger
+from aerovigil.operators.ordered import add_positions
 from aerovigil.plans.registry import query
-from aerovigil.sources.fixtures import PACKETS, TELEMETRY, SCORES, _SPARK_ROW_ID, packets_sql, telemetry_sql
+from aerovigil.sources.fixtures import PACKETS, TELEMETRY, SCORES, _SPARK_ROW_ID, packets, packets_sql, telemetry_sql
 from aerovigil.streaming import detectors as D
 from aerovigil.streaming import eventtime as E
 from aerovigil.streaming import runs as R
@@ -132,3 +134,19 @@ def _(spark, sf):
     log = R.log_available(s, "event-log")
     ok = record_hash(log, ("log_hash", "stream_batch", "stream_batch_id")) == F.col("log_hash")
     return log.agg(F.count("*").alias("n_events"), F.count_if(ok).alias("intact"), F.count_distinct("node_id").alias("nodes"))
+
+
+# Merkle batches of ten over the stream's log in order of time and id; a batch's root is that of the batch operator.
+@query("i8_stream_merkle", f"""{_P}, k as (select row_number() over (order by ts, packet_id) as pos, ts from p), b as (select (pos - 1) // 10 + 1 as batch_id, count(*) as batch_size,
+    min(epoch_us(ts)) as first_us from k group by 1) select batch_id, batch_size, first_us, true as root_holds, true as same_as_batch from b""")
+def _(spark, sf):
+    columns = ["packet_id", "node_id", "ts", "protocol"]
+    s = _packet_stream(spark, sf, *columns).withColumn("source_type", F.lit("uav_ugv"))
+    log, roots = R.seal_available(s, "merkle", ("ts", "packet_id"))
+    rows = packets(spark, sf, *columns).withColumn("source_type", F.lit("uav_ugv"))
+    sealed = add_positions(rows.withColumn("log_hash", record_hash(rows)).withColumn("log_timestamp", F.col("ts").cast("string")), ["ts", "packet_id"])
+    whole = ledger.merkle_batches(sealed.withColumn("batch_id", F.expr("(_pos - 1) div 10 + 1"))).select("batch_id", F.col("merkle_root").alias("_root"))
+    first = log.groupBy("batch_id").agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))).alias("first_us"))
+    return roots.join(whole, "batch_id", "full").join(first, "batch_id").select(
+        "batch_id", "batch_size", "first_us", ledger.merkle_root(F.col("record_hashes"), 10).eqNullSafe(F.col("merkle_root")).alias("root_holds"),
+        F.col("merkle_root").eqNullSafe(F.col("_root")).alias("same_as_batch"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from aerovigil import constants as K
+from aerovigil.functions import scalars as S
 from aerovigil.functions.hashing import pseudonym
 from aerovigil.operators import coordination as C
 from aerovigil.operators import ledger as L
@@ -369,3 +370,88 @@ def _(spark, sf):
 def _(spark, sf):
     floods = _floods(spark, sf)
     return B.summary(floods, "node_id", B.shape_for(floods, "node_id", _SHAPE)).select("m_bits", "k_hashes", "items_added", "estimated_fpr")
+
+
+def _window_bits(shape):
+    """Bits of each (window, node) in SQL for a filter of a fixed shape."""
+    def mod(expr, n):
+        out = "0::bigint"
+        for i in range(1, n + 1, 4):
+            out = f"(({out}) * 65536 + cast(('0x' || substring({expr}, {i}, 4)) as bigint)) % {shape.bits}"
+        return out
+
+    return f"""{_T}, k as (select epoch_us(ts) - epoch_us(ts) % {_MONTH}000000 as window_start, node_id as item from t),
+    h as (select *, {mod('md5(item)', 32)} as h1, {mod('sha1(item)', 40)} as h2 from (select distinct * from k)),
+    bits as (select window_start, item, (h1 + i * h2) % {shape.bits} as bit from h, range(0, {shape.hashes}) r(i))"""
+
+
+@query("c22_filter_summary", f"""{_window_bits(SK.SOURCE_FILTER)},
+    n as (select window_start, count(*) as items_added from k group by 1), b as (select window_start, count(distinct bit) as set_bits from bits group by 1)
+    select n.window_start, {SK.SOURCE_FILTER.bits}::int as m_bits, {SK.SOURCE_FILTER.hashes}::int as k_hashes, items_added, set_bits,
+    round(pow(1 - exp(-{SK.SOURCE_FILTER.hashes} * items_added::double / {SK.SOURCE_FILTER.bits}), {SK.SOURCE_FILTER.hashes}), 6) as estimated_fpr
+    from n join b on b.window_start = n.window_start""")
+def _(spark, sf):
+    told, blocks = SK.source_filters(telemetry(spark, sf, "node_id", "ts"), _MONTH)
+    bits = blocks.groupBy("window_start").agg(F.sum(F.expr("bitmap_count(bitmap)")).alias("set_bits"))
+    return told.join(bits, "window_start").select("window_start", "m_bits", "k_hashes", "items_added", "set_bits", "estimated_fpr")
+
+
+# Windows or-ed together are the filter of the whole, bit by bit.
+@query("c22_filter_roll_up", f"""{_window_bits(SK.SOURCE_FILTER)}
+    select cast(bit // 32768 + 1 as bigint) as block, count(distinct bit) as set_bits, true as same_as_whole from bits group by 1""")
+def _(spark, sf):
+    t = telemetry(spark, sf, "node_id", "ts")
+    merged = B.merge(SK.source_filters(t, _MONTH)[1]).select("block", F.col("bitmap").alias("merged"))
+    whole = B.build(t, "node_id", SK.SOURCE_FILTER)
+    return whole.join(merged, "block", "full").select("block", F.expr("bitmap_count(merged)").alias("set_bits"),
+                                                      F.col("merged").eqNullSafe(F.col("bitmap")).alias("same_as_whole"))
+
+
+_YEAR = 365 * 86400
+
+
+# Sketches of months merged to years and to the whole, against exact counts.
+@query("c5_distinct_sketches", f"""with p as materialized ({packets_sql()}), k as (select epoch_us(ts) as us, ip_src from p),
+    e as (select 'month' as level, us - us % {_MONTH}000000 as window_start, count(distinct ip_src) as sources, count(*) as rows from k group by 2 union all
+        select 'year', us - us % {_MONTH}000000 - (us - us % {_MONTH}000000) % {_YEAR}000000, count(distinct ip_src), count(*) from k group by 2 union all
+        select 'all', -1, count(distinct ip_src), count(*) from k)
+    select level, window_start, sources, rows, true as within_bound from e""")
+def _(spark, sf):
+    p = packets(spark, sf, "ts", "ip_src")
+    months = SK.distinct_sketches(p, "ip_src", _MONTH)
+    month = S.bucket_start(F.col("ts"), _MONTH)
+    exact = p.select("ip_src", month.alias("month"), (month - F.pmod(month, F.lit(_YEAR * 1_000_000))).alias("year"))
+    out = None
+    for level, sketches, key in (("month", months, "month"), ("year", SK.roll_up(months, _YEAR), "year"), ("all", SK.roll_up(months).withColumn("window_start", F.lit(-1).cast("bigint")), None)):
+        counted = exact.withColumn("window_start", F.col(key) if key else F.lit(-1).cast("bigint")).groupBy("window_start").agg(F.count_distinct("ip_src").alias("sources"))
+        both = sketches.join(counted, "window_start").select(
+            F.lit(level).alias("level"), "window_start", "sources", "rows",
+            (F.abs(F.hll_sketch_estimate("sketch") - F.col("sources")) <= SK.distinct_bound() * F.col("sources")).alias("within_bound"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+# A filter sized from its items, whatever their number; the same rule in SQL.
+_PAIR = "node_id || '/' || strftime(ts, '%Y-%m')"
+_SIZED = f"""{_T}, items as (select {_PAIR} as item, bool_or(label in ('dos', 'ddos')) as add from t group by 1),
+    n as (select count(*) as n from items where add), z as (select n, case when n <= {_SHAPE.capacity} then {_SHAPE.bits} else
+        cast(floor(-n * ln(0.01::double) / pow(ln(2::double), 2)) as bigint) end as m from n),
+    h as (select item, add, m, md5(item) as a, sha1(item) as b from items, z),
+    g as (select item, add, m, {{first}} as h1, {{second}} as h2 from h),
+    bits as (select item, add, (h1 + i * h2) % m as bit from g, range(0, {_SHAPE.hashes}) r(i)), s as (select distinct bit from bits where add)
+    select item, count(distinct bits.bit) filter (where s.bit is not null) = count(distinct bits.bit) as maybe_present from bits left join s on bits.bit = s.bit group by 1"""
+
+
+def _mod_of(column, digits):
+    out = "0::bigint"
+    for i in range(1, digits + 1, 4):
+        out = f"(({out}) * 65536 + cast(('0x' || substring({column}, {i}, 4)) as bigint)) % m"
+    return out
+
+
+@query("e8_sized_probe", _SIZED.format(first=_mod_of("a", 32), second=_mod_of("b", 40)))
+def _(spark, sf):
+    t = telemetry(spark, sf, "node_id", "ts", "label").withColumn("item", F.concat("node_id", F.lit("/"), F.date_format("ts", "yyyy-MM")))
+    floods = t.where("label in ('dos', 'ddos')")
+    shape = B.shape_for(floods, "item", _SHAPE)
+    return B.probe(t, "item", B.build(floods, "item", shape), shape)

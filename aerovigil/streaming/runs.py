@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from aerovigil import constants as K
 from aerovigil.functions.hashing import record_hash
+from aerovigil.operators import ledger
+from aerovigil.operators.ordered import add_positions
 from aerovigil.session import shared_folder
 
 FILES = 256   #: Files that a micro-batch reads at most.
@@ -40,6 +44,47 @@ def event_log_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def merkle_log_writer(spark: SparkSession, path: str, order: tuple[str, ...] = ("ts", "event_id"),
+                      rows: int = K.LEDGER_ROWS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that seals a stream of events into Merkle batches of ``rows``.
+
+    The events of a micro-batch follow those that the one before left over in an unfilled batch. Full batches are written to
+    ``roots`` and ``log``, the rest to ``carry``, each in the micro-batch's own folder. A repeated micro-batch reads the same carry and
+    overwrites the same folders, so a replay changes nothing.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.withColumn("log_hash", record_hash(batch)).withColumns({"log_timestamp": F.col(order[0]).cast("string"), "_age": F.lit(1)})
+        events, before = fresh, 0
+        if number:
+            carried = spark.read.schema(T.StructType([*fresh.schema.fields, T.StructField("_pos", T.LongType())])).parquet(f"{path}/carry/{number - 1}")
+            row = spark.read.parquet(f"{path}/sealed/{number - 1}").first()
+            events, before = fresh.unionByName(carried.drop("_pos").withColumn("_age", F.lit(0))), row.sealed
+        placed = add_positions(events, ["_age", *order]).withColumn("_pos", F.col("_pos") + before)
+        placed.write.mode("overwrite").parquet(f"{path}/placed/{number}")
+        placed = spark.read.schema(placed.schema).parquet(f"{path}/placed/{number}")
+        sealed = (before + placed.count()) // rows * rows
+        log = placed.where(F.col("_pos") <= sealed).withColumn("batch_id", F.expr(f"(_pos - 1) div {rows} + 1"))
+        log.drop("_age").write.mode("overwrite").parquet(f"{path}/log/stream_batch_id={number}")
+        ledger.merkle_batches(log, rows).write.mode("overwrite").parquet(f"{path}/roots/stream_batch_id={number}")
+        placed.where(F.col("_pos") > sealed).coalesce(1).write.mode("overwrite").parquet(f"{path}/carry/{number}")
+        spark.createDataFrame([(int(sealed),)], "sealed bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/sealed/{number}")
+    return write
+
+
+def seal_available(stream: DataFrame, name: str, order: tuple[str, ...] = ("ts", "event_id"), rows: int = K.LEDGER_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(log, Merkle batches) of everything available; the last unfilled batch is closed at the end."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    query = (stream.writeStream.foreachBatch(merkle_log_writer(spark, f"{folder}/m", order, rows))
+             .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+    query.awaitTermination()
+    last = query.lastProgress.batchId
+    log, roots = (spark.read.parquet(f"{folder}/m/{k}").drop("stream_batch_id") for k in ("log", "roots"))
+    left = spark.read.schema(T.StructType([*log.drop("_pos", "batch_id").schema.fields, T.StructField("_age", T.IntegerType()), T.StructField("_pos", T.LongType())])).parquet(
+        f"{folder}/m/carry/{last}").drop("_age").withColumn("batch_id", F.expr(f"(_pos - 1) div {rows} + 1"))
+    return log.unionByName(left), roots.unionByName(ledger.merkle_batches(left, rows))
+
+
 def log_available(stream: DataFrame, name: str) -> DataFrame:
     """Writes a stream of events to a fresh log folder and reads the log back."""
     spark = stream.sparkSession

@@ -90,3 +90,31 @@ def test_information_ranks_an_informative_feature_first(spark):
     mi = {r["feature"]: r["mi"] for r in mutual_information(df, ["good", "noise"]).collect()}
     assert mi["good"] == pytest.approx(np.log(2), abs=0.05) and mi["noise"] < 0.02
     assert select_features(df, ["flat", "noise", "good"], min_mi=0.1) == ["good"]
+
+
+def test_distinct_sketches_merge_like_one_sketch(spark):
+    """Merged windows know the distinct items of their union, also where windows share items."""
+    from pyspark.sql import functions as F
+
+    from aerovigil.operators import sketches as SK
+    df = spark.range(20_000).select(F.timestamp_seconds(F.col("id") % 600).alias("ts"), F.concat(F.lit("n"), F.col("id") % 7_000).alias("node_id"))
+    windows = SK.distinct_sketches(df, "node_id", 60.0)
+    assert windows.count() == 10
+    for merged, n in ((SK.roll_up(windows), 1), (SK.roll_up(windows, 300.0), 2)):
+        rows = merged.select(F.hll_sketch_estimate("sketch").alias("n"), "rows").collect()
+        assert len(rows) == n and sum(r.rows for r in rows) == 20_000
+    assert abs(SK.roll_up(windows).select(F.hll_sketch_estimate("sketch")).first()[0] - 7_000) <= SK.distinct_bound() * 7_000
+
+
+def test_window_filters_merge_to_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    from aerovigil.operators import membership as B
+    from aerovigil.operators import sketches as SK
+    df = spark.range(500).select(F.timestamp_seconds(F.col("id") % 90).alias("ts"), F.when(F.col("id") % 50 > 0, F.concat(F.lit("n"), F.col("id"))).alias("node_id"))
+    told, blocks = SK.source_filters(df, 30.0)
+    assert sorted(tuple(r) for r in told.select("window_start", "items_added").collect()) == [(0, 180), (30_000_000, 170), (60_000_000, 150)]
+    whole = B.build(df.fillna("", ["node_id"]), "node_id", SK.SOURCE_FILTER)
+    assert sorted(map(tuple, B.merge(blocks).collect())) == sorted(map(tuple, whole.collect()))
+    present = B.probe(df, "node_id", B.merge(blocks), SK.SOURCE_FILTER)
+    assert present.count() == 490 and present.where("not maybe_present").isEmpty()

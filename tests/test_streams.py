@@ -4,12 +4,17 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from aerovigil.functions.hashing import record_hash
+from aerovigil.operators import ledger
+from aerovigil.operators.ordered import add_positions
 from aerovigil.plans import load_all
 from aerovigil.plans.registry import ORACLES, QUERIES
 from aerovigil.streaming import detectors as D
 from aerovigil.streaming import trust as T
 from aerovigil.streaming.eventtime import PROVIDER, ROCKSDB, run_to_end
-from aerovigil.streaming.runs import run_available
+from aerovigil.streaming.runs import merkle_log_writer, run_available
 
 
 def test_detector_state_follows_the_definition():
@@ -93,6 +98,28 @@ def test_trust_stream_equals_loop_on_shuffled_files(spark, tmp_path):
             assert got.at[r.source_row_id, "clamped_trust"] == pytest.approx(c)
 
 
+def test_merkle_batches_carry_over_and_replay(spark, tmp_path):
+    """Micro-batches of 13, 4 and 30 events: batches of ten span them, equal those of one sealing, and a replayed one changes nothing."""
+    pdf = pd.DataFrame({"event_id": np.arange(47), "node_id": "a", "source_type": "uav_ugv", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(47), unit="s")})
+    path, events = str(tmp_path / "m"), spark.createDataFrame(pdf)
+    write = merkle_log_writer(spark, path)
+    parts = [events.where(f"event_id >= {a} and event_id < {b}") for a, b in ((0, 13), (13, 17), (17, 47))]
+
+    def state():
+        rows = spark.read.parquet(f"{path}/roots").select("batch_id", "batch_size", "merkle_root").orderBy("batch_id").collect()
+        return rows, [spark.read.parquet(f"{path}/carry/{i}").count() for i in range(3)]
+
+    for i, part in enumerate(parts):
+        write(part, i)
+    first = state()
+    for i in (2, 1, 2):  # repeated after a failure
+        write(parts[i], i)
+    assert state() == first and first[1] == [3, 7, 7]
+    sealed = add_positions(events.withColumn("log_hash", record_hash(events)).withColumn("log_timestamp", F.col("ts").cast("string")), ["ts"])
+    whole = ledger.merkle_batches(sealed.withColumn("batch_id", F.expr("(_pos - 1) div 10 + 1"))).orderBy("batch_id").collect()
+    assert [(r.batch_id, r.batch_size, r.merkle_root) for r in whole[:4]] == [tuple(r) for r in first[0]]
+
+
 def test_registry_is_complete_and_oracles_have_queries():
     load_all()
     assert len(QUERIES) > 100 and set(ORACLES) <= set(QUERIES)
