@@ -37,6 +37,7 @@ from aerovigil.session import durable, small_side
 
 LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2000
 HELD = 600_000                  #: Distinct fingerprints that a task combines before it sends them on.
+PARTS = 8                       #: Parts of a language that are ranked by themselves first.
 FILTER_BITS = (16, 26)          #: Bounds of the bit map's size: 8 KB to 8 MB.
 NO_LANGUAGE = "und"
 
@@ -211,8 +212,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
     lowest = F.min_by(F.struct("l", "r", "score"), F.struct("score", "k")).alias("cut")
     best = cut.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.first("example").alias("example"), lowest)
     best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "example")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # First within parts of a language, so that the last window gets ``PARTS`` times ``top`` rows of it at most.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(PARTS))).orderBy(*order)
+    best = best.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     total = held.filter("size = 0").select("lang", F.col("f").alias("n"))
     return best.join(small_side(total), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score",
                                                        "example")
