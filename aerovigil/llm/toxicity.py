@@ -2,12 +2,12 @@
 
 Voters: groups of lexicon entries and a few patterns. The lexicon holds words, and beginnings of words, that are significantly
 more frequent in texts labelled toxic in the learning fold; entries are dealt into voters by strength and kind, so a voter is a
-list that fires or abstains. The label given in the learning fold is one more voter.
+list that fires or abstains. Given labels serve this choice of entries only; they are no voter and no start value.
 
-Label model: voters fire with a rate per class. Rates and the class prior are estimated by expectation-maximisation starting from
-the given labels (weight 0.9), so its posteriors stay near them; voters that still correlate within a class share their weight. Its posterior is the soft label on which
-a ridge-penalised logistic classifier of voter counts and densities is fitted (Newton steps). Scoring needs the hit counts of a
-text only.
+Label model: voters fire with a rate per class. Rates and the class prior are estimated by expectation-maximisation from the votes
+alone, starting from the guess that a text is toxic where some list fires. Voters that still correlate within a class share their
+weight, by the square of the correlation. Its posterior is the soft label on which a ridge-penalised logistic classifier of voter
+counts and densities is fitted (Newton steps). Scoring needs the hit counts of a text only.
 
 Defined results: a null or empty text has no hits and gets the classifier's base score; texts are read whole; without learning
 rows the score is 0; repeated rows get equal scores; an added column replaces an input column of its name; an empty table stays
@@ -34,6 +34,7 @@ STRONG = 5.0            #: Least z-score of an entry.
 HEADS = (4, 5, 6, 7)    #: Lengths in bytes of the word beginnings.
 TIERS = 6               #: Voters per kind, by strength.
 PATTERNS = 2
+CORRELATED = 0.3        #: Correlations within a class below this count as none.
 
 
 def entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,25 +137,43 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 40) -> LabelModel:
-    """Accuracies and correlations of voters by expectation-maximisation from a first guess ``start`` of the posterior."""
+def shared_voice(v: np.ndarray, p: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """The weight of each voter: one voice is shared by voters whose votes correlate where the class is given."""
+    both = np.zeros((v.shape[1], v.shape[1]))
+    for rate, mass in zip(rates, (1 - p, p)):
+        left = v - rate
+        together = (left * mass[:, None]).T @ left / (mass.sum() + 1)
+        spread = np.sqrt(np.diag(together)) + 1e-6
+        both += np.abs(together / spread[:, None] / spread) / 2
+    both[both < CORRELATED] = 0
+    np.fill_diagonal(both, 1)
+    return 1 / (both ** 2).sum(1)
+
+
+def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 40, alone: int = 3) -> LabelModel:
+    """Accuracies and correlations of voters by expectation-maximisation from a first guess ``start`` of the posterior.
+
+    The first ``alone`` rounds take the voters as independent, later ones weigh them by their correlations.
+    """
     p, model = np.clip(start, 0.02, 0.98), None
     weight = np.ones(v.shape[1])
     for k in range(rounds):
         mass = np.array([(1 - p).sum(), p.sum()])
-        rates = np.clip(np.stack([((1 - p)[:, None] * v).sum(0) + 0.5, (p[:, None] * v).sum(0) + 0.5]) / (mass[:, None] + 1), 1e-4, 1 - 1e-4)
+        rates = np.clip((np.stack([1 - p, p]) @ v + 0.5) / (mass[:, None] + 1), 1e-4, 1 - 1e-4)
+        if k >= alone:
+            weight = shared_voice(v, p, rates)
         model = LabelModel(float(np.clip(mass[1] / len(v), 1e-3, 1 - 1e-3)), rates, weight)
-        if k == rounds // 2:  # what the classes do not explain is correlation: such voters share one voice
-            left = v - (p[:, None] * rates[1] + (1 - p)[:, None] * rates[0])
-            spread = np.sqrt((left ** 2).mean(0)) + 1e-9
-            both = np.abs(left.T @ left / len(v)) / spread[:, None] / spread[None]
-            both[both < 0.2] = 0
-            weight = 1 / np.maximum(1, both.sum(1))
-            model.weight = weight
         p = model.posterior(v)
     return model
 
 
+def weak_labels(counted: np.ndarray) -> tuple[LabelModel, np.ndarray]:
+    """The label model of the voters' hit counts and its posterior; no given label takes part."""
+    v = votes(counted)
+    model = label_model(v, 0.9 * v[:, :2 * TIERS].max(1))
+    return model, model.posterior(v)
+
+
 def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means and scales of a logistic regression on soft labels."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
@@ -197,10 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     got = counted.groupBy(doc_id).agg(F.min("_label").alias("y"), F.min("_hits").alias("x")).orderBy(doc_id).toPandas()
     if not len(got) or got["y"].nunique() < 2:
         return model
-    x, y = np.array(got["x"].tolist(), float), got["y"].to_numpy(float)
-    v = np.concatenate((votes(x), y[:, None]), axis=1)
-    model.labels = label_model(v, 0.9 * y + 0.1 * (votes(x)[:, :2 * TIERS].max(1)))
-    model.weights, model.mean, model.scale = logistic(features(x), model.labels.posterior(v))
+    x = np.array(got["x"].tolist(), float)
+    model.labels, posterior = weak_labels(x)
+    model.weights, model.mean, model.scale = logistic(features(x), posterior)
     return model
 
 

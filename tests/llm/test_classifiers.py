@@ -74,6 +74,26 @@ def test_label_model_finds_accuracies():
     assert model.weight[0] < 0.5 < model.weight[1]
 
 
+def test_posterior_uses_no_label_voter(spark):
+    """The label model has the lists and patterns as voters only, and its posterior follows them where the labels are turned round."""
+    rng = np.random.default_rng(5)
+    calm, rude = [f"calm{i}" for i in range(60)], ["grumblex", "snarfle", "vexnog", "blarghy"]
+    toxic = rng.random(1500) < 0.2
+    texts = [" ".join([*rng.choice(calm, 30), *(rng.choice(rude, 3) if t else [])]) for t in toxic]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    given = toxic.copy()
+    wrong = rng.choice(1500, 60, replace=False)     # labels given wrongly
+    given[wrong] = ~given[wrong]
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(given)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    counted = toxicity.hits(pa.array(texts), model.code, model.voter)
+    assert model.labels.rates.shape[1] == toxicity.votes(counted).shape[1] == 4 * toxicity.TIERS + toxicity.PATTERNS
+    posterior = model.labels.posterior(toxicity.votes(counted))
+    assert ((posterior > 0.5) == toxic)[wrong].mean() > 0.9
+    got = toxicity.score(docs, model, "s").orderBy("doc_id").toPandas()
+    assert ((got["s"] >= 0.5) == toxic).mean() > 0.95
+
+
 def test_kernel_is_the_set_product():
     texts = ["abcd", "abce", "zzz"]
     grams = np.unique(np.concatenate([np.concatenate(list(language.codes(np.frombuffer(t.encode(), np.uint8)))) for t in texts])).astype(np.int64)
