@@ -124,6 +124,19 @@ def run_length(series: OrderedRows, df: DataFrame, condition: Column, name: str)
     return out.withColumn(name, length.cast("int")).drop("_break")
 
 
+def alarm_sessions(df: DataFrame, condition: Column, gap: str, key: str = "node_id", ts: str = "ts") -> DataFrame:
+    """(key, session_start, session_end, rows): rows that meet the condition, joined while the next follows within ``gap``.
+
+    A row exactly ``gap`` after the last one still belongs to its session; ``session_end`` is the time of the last row. Rows with a null
+    key or time are left out. Works on tables and, with a watermark on ``ts``, on streams, where a session comes out once closed.
+    """
+    alarms = df.withColumn(ts, F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts] != "timestamp" else df
+    alarms = alarms.where(condition & F.col(key).isNotNull() & F.col(ts).isNotNull())
+    found = alarms.groupBy(F.session_window(ts, gap), key).agg(
+        F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count("*").alias("rows"))
+    return found.select(key, "session_start", "session_end", "rows")
+
+
 def sequences(series: OrderedRows, df: DataFrame, features: list[str], rows: int = 10) -> DataFrame:
     """``sequence``: the last ``rows`` feature vectors; only rows with a full history are kept."""
     step = F.array(*[F.col(c).cast("double") for c in features])

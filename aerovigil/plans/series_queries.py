@@ -135,6 +135,22 @@ def _(spark, sf):
     return s.finish(R.run_length(s, s.rows, F.col("label") != "normal", "run_length")).select("source_row_id", "run_length")
 
 
+def _sessions_sql(days):
+    """Gaps and islands: a session starts where the last alarm of the node is more than ``days`` back."""
+    return f"""{_T}, a as (select node_id, ts, ts - lag(ts) over (partition by node_id order by ts) > interval {days} day as far from t where label <> 'normal'),
+    i as (select *, sum(case when far then 1 else 0 end) over (partition by node_id order by ts range unbounded preceding) as session from a)
+    select node_id, epoch_us(min(ts)) as session_start, epoch_us(max(ts)) as session_end, count(*) as "rows" from i group by node_id, session"""
+
+
+def _micros(sessions):
+    return sessions.select("node_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "rows")
+
+
+@query("d9_alarm_sessions", _sessions_sql(20))
+def _(spark, sf):
+    return _micros(R.alarm_sessions(telemetry(spark, sf, "node_id", "ts", "label"), F.col("label") != "normal", "20 days"))
+
+
 _P = f"with p as ({packets_sql()})"
 _PF = "(partition by node_id order by ts, packet_id rows between 19 preceding and current row)"
 

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from aerovigil.functions.hashing import record_hash
 from aerovigil.operators import ledger
 from aerovigil.operators.ordered import add_positions
+from aerovigil.operators.series import alarm_sessions
 from aerovigil.plans.registry import query
+from aerovigil.plans.series_queries import _micros, _sessions_sql
 from aerovigil.sources.fixtures import PACKETS, TELEMETRY, SCORES, _SPARK_ROW_ID, packets, packets_sql, telemetry_sql
 from aerovigil.streaming import detectors as D
 from aerovigil.streaming import eventtime as E
@@ -67,6 +69,15 @@ def _replay(spark, sf, stream, build, name):
     return E.run_to_end(stream, lambda s: build(s, f"{span} days", 500 * 86_400_000), name)
 
 
+@query("i9_stream_alarm_sessions", _sessions_sql(20))
+def _(spark, sf):
+    def sessions(stream, delay, _):  # the closing row moves the watermark; its own session never closes
+        return alarm_sessions(W.with_event_time(stream.withColumn("node_id", F.coalesce("node_id", F.when(F.col(E.CLOSING), ""))), delay),
+                              (F.col("label") != "normal") | F.col(E.CLOSING), "20 days")
+
+    return _micros(_replay(spark, sf, _telemetry_stream(spark, sf, "node_id", "ts", "label"), sessions, "alarm-sessions"))
+
+
 # EWMA and CUSUM by recursion over each node's windows; details and alarms follow from the carried values.
 def _detector_sql():
     ewma, cusum = D.EWMA_METRICS, D.CUSUM_DIRECTIONS

@@ -285,6 +285,28 @@ def _(spark, sf):
     return L.log_analytics(_events(spark, sf)).where("dimension <> 'dominant_strategy'")
 
 
+# Log order is kind, time, event id; a batch is ten events of it. Strategies are left to the game's own queries.
+_C21_REPORT = f"""{_CO}, x as (select *, case when notify_gcc then 'gcc' when notify_edge then 'edge' else 'local' end as node_scope from cf),
+    c as ({_C21[_C21.index("select 'source_type' as dimension"):]}),
+    o as (select dimension, sum(n) as total from c group by 1),
+    m as (select count(*) as n from x), e as (select n, (n + 29) // 30 as g from m),
+    b as (select (2 * n + g + 9) // 10 as batches, 2 * n + g as events, n, g from e),
+    span as (select 'uav_ugv' as item, (n + 9) // 10 as n from b union all select 'edge', (2 * n + 9) // 10 - n // 10 from b
+        union all select 'gcc', batches - (2 * n) // 10 from b)
+    select dimension, item, n::bigint as n, round(n / total, 6) as share from c join o using (dimension)
+    union all select 'total', 'events', events, 1.0 from b
+    union all select 'total', 'gcc_notified', (select count(*) from x where notify_gcc), round((select count(*) from x where notify_gcc) / n, 6) from b
+    union all select 'total', 'merkle_batches', batches, 1.0 from b union all select 'total', 'records_covered', events, 1.0 from b
+    union all select 'merkle_source_type', item, span.n, round(span.n / batches, 6) from span, b"""
+
+
+@query("c21_log_report", _C21_REPORT)
+def _(spark, sf):
+    log = durable(L.seal(_events(spark, sf)))
+    report = L.log_report(log, durable(L.merkle_batches(log)))
+    return report.where("dimension <> 'dominant_strategy'").withColumn("share", F.round("share", 6))
+
+
 @query("b42_nested_summaries", f"""{RESPONSE_CTE} select md5('uav_ugv|' || cast(source_row_id as varchar)) as event_id, rf_channel_mode as channel_mode, round(snr_db, 6) as snr_db,
     net_selected_action as selected_action, round(packets_per_second, 6) as packets_per_second, safety_constraint, notify_gcc from resp""")
 def _(spark, sf):

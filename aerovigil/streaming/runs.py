@@ -15,6 +15,8 @@ from aerovigil.operators.ordered import add_positions
 from aerovigil.session import shared_folder
 
 FILES = 256   #: Files that a micro-batch reads at most.
+PROGRESS = 20_000   #: Reports of progress that a counted run keeps, a small record per micro-batch.
+REPORTS = "spark.sql.streaming.numRecentProgressUpdates"
 
 
 def read_table(spark: SparkSession, pattern: str, schema=None, files: int = FILES) -> DataFrame:
@@ -33,6 +35,31 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
+def run_counted(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, DataFrame]:
+    """As ``run_available``, with a second frame (batch, read, late, state_rows) of what each micro-batch read, dropped as late and kept.
+
+    ``late`` counts rows that are not after the watermark with which the micro-batch before evicted its state: the latest time seen
+    up to the one before that, less the delay. State that a row is compared with is evicted after the micro-batch, so a repeated row
+    meets either the state or that watermark and never comes out a second time.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    before = spark.conf.get(REPORTS)
+    spark.conf.set(REPORTS, PROGRESS)
+    try:
+        query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/data")
+                 .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(REPORTS, before)
+    if len(query.recentProgress) >= PROGRESS:
+        raise ValueError(f"more than {PROGRESS} reports of progress: read more files in a micro-batch")
+    rows = [(p["batchId"], p["numInputRows"], sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]),
+             sum(o["numRowsTotal"] for o in p["stateOperators"])) for p in query.recentProgress]
+    counted = spark.createDataFrame(rows, "batch long, read long, late long, state_rows long")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/data"), counted
+
+
 def event_log_writer(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: hashes the events of a micro-batch and writes them under its number.
 

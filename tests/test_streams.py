@@ -1,4 +1,5 @@
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -7,14 +8,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerovigil.functions.hashing import record_hash
-from aerovigil.operators import ledger
+from aerovigil.operators import ledger, series
 from aerovigil.operators.ordered import add_positions
 from aerovigil.plans import load_all
 from aerovigil.plans.registry import ORACLES, QUERIES
 from aerovigil.streaming import detectors as D
 from aerovigil.streaming import trust as T
 from aerovigil.streaming.eventtime import PROVIDER, ROCKSDB, run_to_end
-from aerovigil.streaming.runs import merkle_log_writer, run_available
+from aerovigil.streaming.runs import merkle_log_writer, run_available, run_counted
+from aerovigil.streaming.windows import first_per_key, with_event_time
 
 
 def test_detector_state_follows_the_definition():
@@ -129,3 +131,60 @@ def test_registry_is_complete_and_oracles_have_queries():
 def test_headline_queries_have_rows(spark, sf, name):
     load_all()
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_dedup_evicts_and_counts_late_rows(spark, tmp_path):
+    """Repeats within the delay are dropped as such, later ones as late rows; state holds only what the watermark has not passed."""
+    def rows(*seconds):
+        return [("a", datetime(2024, 1, 1) + timedelta(seconds=x)) for x in seconds]
+
+    parts = [rows(0, 0, 5), rows(5, 8, 100), rows(101, 101), rows(0, 5, 101, 90, 95), rows(300), rows(101, 400), rows(101, 401)]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, "node_id string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/p{i}")
+    stream = spark.readStream.schema("node_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/p*")
+    kept, counted = run_counted(first_per_key(stream, "10 seconds"), "late-rows")
+    second = [int((r.ts - datetime(2024, 1, 1)).total_seconds()) for r in kept.orderBy("ts").collect()]
+    assert second == [0, 5, 8, 95, 100, 101, 300, 400, 401]      # 101 comes again three times: twice held in state, then late (behind 290)
+    total = counted.groupBy("batch").agg(F.max("read").alias("read"), F.max("late").alias("late"), F.max("state_rows").alias("n")).orderBy("batch").toPandas()
+    assert total["read"].sum() == sum(map(len, parts)) and total["late"].sum() == 4
+    assert total["n"].iloc[-1] <= 2 < total["n"].max()
+
+
+def test_alarm_sessions(spark, tmp_path):
+    """The gap is inclusive; null keys, null times and calm rows take no part; a stream gives the sessions that are closed."""
+    day = datetime(2024, 1, 1)
+    rows = [("a", 0, True), ("a", 10, True), ("a", 10, True), ("a", 21, True), ("a", 15, False), ("b", 3, True), (None, 4, True), ("b", None, True), ("b", 90, None)]
+    rows = [(n, None if t is None else day + timedelta(seconds=t), alarm) for n, t, alarm in rows]
+    df = spark.createDataFrame(rows, "node_id string, ts timestamp, alarm boolean")
+
+    def found(sessions):
+        return sorted((r.node_id, (r.session_start - day).total_seconds(), (r.session_end - day).total_seconds(), r.rows) for r in sessions.collect())
+
+    wanted = [("a", 0, 10, 3), ("a", 21, 21, 1), ("b", 3, 3, 1)]
+    assert found(series.alarm_sessions(df, F.col("alarm"), "10 seconds")) == wanted
+    assert found(series.alarm_sessions(df.limit(0), F.col("alarm"), "10 seconds")) == []
+    last = spark.createDataFrame([("c", day + timedelta(seconds=1000), True)], df.schema)
+    for i, part in enumerate((df.where("ts <= '2024-01-01 00:00:10'"), df.where("ts > '2024-01-01 00:00:10'"), last)):
+        part.coalesce(1).write.parquet(f"{tmp_path}/p{i}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/p*")
+    closed = run_available(series.alarm_sessions(with_event_time(stream, "100 seconds"), F.col("alarm"), "10 seconds"), "sessions")
+    assert found(closed) == wanted
+
+
+def test_log_report(spark):
+    log = spark.createDataFrame(
+        [("uav_ugv", "DOS", True, None, None), ("uav_ugv", None, False, None, None), ("uav_ugv", "DOS", None, None, None),
+         ("edge", "DOS", True, "ISOLATE", None), ("gcc", None, None, None, "FULL")],
+        "source_type string, final_label string, gcc_notified boolean, coordinated_swarm_action string, dominant_strategy string")
+    batches = spark.createDataFrame([(1, 3, ["uav_ugv"]), (2, 2, ["edge", "gcc"])], "batch_id long, batch_size long, source_types array<string>")
+    got = {(r.dimension, r.item): (r.n, r.share) for r in ledger.log_report(log, batches).collect()}
+    assert got == {
+        ("source_type", "uav_ugv"): (3, 0.6), ("source_type", "edge"): (1, 0.2), ("source_type", "gcc"): (1, 0.2),
+        ("final_label", "DOS"): (2, 2 / 3), ("final_label", None): (1, 1 / 3),
+        ("gcc_notified", "true"): (1, 1 / 3), ("gcc_notified", "false"): (1, 1 / 3), ("gcc_notified", None): (1, 1 / 3),
+        ("coordinated_swarm_action", "ISOLATE"): (1, 1.0), ("dominant_strategy", "FULL"): (1, 1.0),
+        ("total", "events"): (5, 1.0), ("total", "gcc_notified"): (1, 1 / 3), ("total", "merkle_batches"): (2, 1.0),
+        ("total", "records_covered"): (5, 1.0),
+        ("merkle_source_type", "uav_ugv"): (1, 0.5), ("merkle_source_type", "edge"): (1, 0.5), ("merkle_source_type", "gcc"): (1, 0.5)}
+    empty = {(r.dimension, r.item): (r.n, r.share) for r in ledger.log_report(log.limit(0), batches.limit(0)).collect()}
+    assert empty == {("total", k): (0, None) for k in ("events", "gcc_notified", "merkle_batches", "records_covered")}
