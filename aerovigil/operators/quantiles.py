@@ -17,6 +17,7 @@ from aerovigil.session import durable, small_side
 
 DIRECT_CELLS = 4_000_000
 INSIDE_VALUES = 100_000
+DIRECT_CUT_ROWS = 100_000   #: A sketch of twice this accuracy drops none of so many values.
 _ACCURACY = 10_000
 
 
@@ -93,6 +94,69 @@ def grouped_median(df: DataFrame, keys: list[str], metrics: list[str], **options
     return grouped_quantiles(df, keys, {m: (m, 0.5) for m in metrics}, **options)
 
 
+def exact_cuts(df: DataFrame, columns: list[str], parts: int, *, direct_rows: int = DIRECT_CUT_ROWS,
+               inside: int = INSIDE_VALUES) -> dict[str, list[float]]:
+    """Per column its values at the ranks ceil(i * n / parts) for i from 1 to parts - 1, sorted, without repeats; at any size.
+
+    Up to ``direct_rows`` values a sketch that holds every value answers. Beyond, all ranks of all columns are searched together: counts
+    prove which interval holds a rank, intervals with many values are cut at a sketch of what lies inside them, and the values of small
+    ones are read at their ranks. Rows are read once per round; the driver holds some numbers per column and part.
+    """
+    value = {c: present(F.col(c)) for c in columns}
+    sizes = df.agg(*[F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"c{i}")
+                     for i, v in enumerate(value.values())]).first()
+    size = dict(zip(columns, sizes))
+    found: dict[str, list[float]] = {c: [] for c in columns}
+    direct = [c for c in columns if 0 < size[c].n <= direct_rows]
+    if direct:
+        grid = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        row = df.agg(*[F.percentile_approx(value[c], grid, 2 * DIRECT_CUT_ROWS).alias(f"c{i}") for i, c in enumerate(direct)]).first()
+        found |= {c: list(v) for c, v in zip(direct, row)}
+    wanted = {c: {(i * size[c].n + parts - 1) // parts for i in range(1, parts)} for c in columns if size[c].n > direct_rows}
+    edges = {c: [size[c].lo, size[c].hi] for c in wanted}
+    for _ in range(64):
+        wanted = {c: ranks for c, ranks in wanted.items() if ranks}
+        if not wanted:
+            return {c: sorted(set(v)) for c, v in found.items()}
+        rows = df.select(F.explode(F.array(*[_placed(c, value[c], sorted(set(edges[c]))) for c in wanted])).alias("x")).select("x.*").where(F.col("v").isNotNull())
+        counted = rows.groupBy("name", "place").agg(F.count("*").alias("n"), F.count_if("at_edge").alias("equal")).collect()
+        # An interval (edge before, edge at its place) and the ranks in it, from the first value of the interval on.
+        small, wide = [], []
+        for c, ranks in wanted.items():
+            below, bounds = 0, sorted(set(edges[c]))
+            for r in sorted((r for r in counted if r["name"] == c), key=lambda r: r["place"]):
+                interior = r["n"] - r["equal"]
+                here = sorted(k - below for k in ranks if below < k <= below + r["n"])
+                found[c] += [bounds[r["place"]] for k in here if k > interior]
+                inner = [k for k in here if k <= interior]
+                if inner and interior <= inside:
+                    small.append((c, r["place"], inner))
+                elif inner:
+                    near = {g for k in inner for g in (int(max(k / interior - 2 / _ACCURACY, 0) * _GRID), int(min(k / interior + 2 / _ACCURACY, 1) * _GRID) + 1)}
+                    wide.append((c, r["place"], sorted({min(g, _GRID) + 1 for g in near})))
+                ranks -= {k + below for k in here if k > interior or interior <= inside}
+                below += r["n"]
+        for intervals, build in ((small, lambda: F.array_sort(F.collect_list("v"))), (wide, lambda: F.percentile_approx(
+                "v", F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)]), _ACCURACY))):
+            if not intervals:
+                continue
+            # At most columns x parts intervals.
+            picked = df.sparkSession.createDataFrame(intervals, "name string, place int, at array<int>")
+            held = rows.where("not at_edge").join(F.broadcast(picked.select("name", "place")), ["name", "place"]).groupBy("name", "place").agg(build().alias("values"))
+            read = held.join(F.broadcast(picked), ["name", "place"]).select(
+                "name", F.transform("at", lambda i: F.element_at("values", i)).alias("values")).collect()
+            for r in read:
+                (found if intervals is small else edges)[r["name"]].extend(r["values"])
+    raise RuntimeError("rank search did not converge")
+
+
+def _placed(name: str, value: Column, edges: list[float]) -> Column:
+    """A value with the place of the first edge it does not exceed, and whether it is that edge."""
+    bounds = F.lit(edges)
+    place = F.size(F.filter(bounds, lambda e: e < value))
+    return F.struct(F.lit(name).alias("name"), value.alias("v"), place.alias("place"), (F.get(bounds, place) == value).alias("at_edge"))
+
+
 def _select_ranks(long: DataFrame, keys: list[str], inside: int) -> DataFrame:
     """Rows (keys, q, v) to (keys, value): the interpolated q-quantile of v, exactly."""
     data = long.where(F.col("v").isNotNull() & ~F.isnan("v")).select(*keys, "q", (F.col("v") + 0.0).alias("v"))

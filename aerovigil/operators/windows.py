@@ -206,10 +206,15 @@ def packet_samples(packets: DataFrame) -> DataFrame:
     return packets.select(*keep, *[v.alias(k) for k, v in out.items()])
 
 
+def labels_in_schema(df: DataFrame, raw: str) -> DataFrame:
+    """One row: whether every label that is there is one of the schema's, whatever its case and blanks; null without labels."""
+    return df.agg(F.bool_and(F.lower(F.trim(raw)).isin(SCHEMA_LABELS)).alias("in_schema"))
+
+
 def label_packets(packets: DataFrame, raw: str = "label_raw") -> DataFrame:
     """Adds ``label`` and ``collection_point``. Labels already in the schema are only lower-cased."""
     S.require_columns(packets, [raw])
-    known = packets.agg(F.bool_and(F.lower(F.trim(raw)).isin(SCHEMA_LABELS))).first()[0]
+    known = labels_in_schema(packets, raw).first()["in_schema"]
     label = F.lower(F.trim(raw)) if known else S.normalise_label(F.coalesce(F.col(raw), F.lit("nan")))
     return (packets.withColumn("label", label)
             .withColumn("collection_point", S.collection_point(F.col("label"))))

@@ -8,6 +8,7 @@ from aerovigil.operators import density as D
 from aerovigil.operators import evaluation as E
 from aerovigil.operators import fusion as FU
 from aerovigil.operators import peers as P
+from aerovigil.operators.models import merge_scores
 from aerovigil.operators.selection import mutual_information
 from aerovigil.plans.registry import query
 from aerovigil.sources.fixtures import telemetry, telemetry_sql
@@ -192,8 +193,7 @@ def _(spark, sf):
     outlier = s.where("hybrid_conf_attack > 0.5").select("source_row_id", "traffic_outlier")
     # Result sets of separate detectors become one gateway table; outliers only complete rows it has.
     hybrid = even.select("source_row_id", "hybrid_conf_attack")
-    gateway = jam.join(hybrid, "source_row_id", "full_outer").join(outlier, "source_row_id", "left")
-    out = FU.attach_scores(t, edge, gateway)
+    out = FU.attach_scores(t, edge, merge_scores([jam, hybrid], outlier))
     return out.select("source_row_id", "edge_alarm", "jamming_conf_attack", "traffic_outlier")
 
 

@@ -49,10 +49,8 @@ def _(spark, sf):
     (select bool_and(lower(label) in ('normal','jamming','dos','ddos','suspicious')) from telemetry) as telemetry_in_schema,
     (select bool_and(lower(trim(label_raw)) in ('normal','jamming','dos','ddos','suspicious')) from p) as packets_in_schema""")
 def _(spark, sf):
-    names = ["normal", "jamming", "dos", "ddos", "suspicious"]
-    t = telemetry(spark, sf, "label").select(F.lower("label").isin(names).alias("a"), F.lit(None).cast("boolean").alias("b"))
-    p = packets(spark, sf, "label_raw").select(F.lit(None).cast("boolean").alias("a"), F.lower(F.trim("label_raw")).isin(names).alias("b"))
-    return t.unionByName(p).agg(F.bool_and("a").alias("telemetry_in_schema"), F.bool_and("b").alias("packets_in_schema"))
+    one = W.labels_in_schema(telemetry(spark, sf, "label"), "label").withColumnRenamed("in_schema", "telemetry_in_schema")
+    return one.crossJoin(W.labels_in_schema(packets(spark, sf, "label_raw"), "label_raw").withColumnRenamed("in_schema", "packets_in_schema"))
 
 
 @query("b5_b6_time_buckets", f"""{_P} select {_START} as window_start,

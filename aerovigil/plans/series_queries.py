@@ -3,12 +3,15 @@
 from pyspark.sql import functions as F
 
 from aerovigil import constants as K
+from aerovigil.functions import scalars as S
 from aerovigil.operators import series as R
 from aerovigil.operators import temporal as T
+from aerovigil.operators import thresholds as TH
 from aerovigil.operators import windows as W
 from aerovigil.operators.ordered import order_rows
 from aerovigil.operators.quantiles import exact_quantiles, normal_quantiles
 from aerovigil.plans.registry import query
+from aerovigil.session import durable
 from aerovigil.sources.fixtures import packets, packets_sql, telemetry, telemetry_sql
 
 _T = f"with recursive t as materialized ({telemetry_sql()})"
@@ -239,6 +242,25 @@ def _(spark, sf):
     return spark.createDataFrame([tuple(round(found[m], 6) for m in _FLAGS)], ", ".join(f"q_{m} double" for m in _FLAGS))
 
 
+_KEPT = 30 * 86400
+_MONTHS_SQL = f"""{_T}, x as ({' union all '.join(f"select epoch_us(ts) - epoch_us(ts) % {_KEPT}000000 as month, '{m}' as metric, cast({m} as double) as v from t where label = 'normal'" for m in K.ALL_METRICS)})"""
+
+
+# States of months, written, read again and merged to one; every limit's rank is counted on the rows it speaks of.
+@query("c8_kept_thresholds", f"""{_MONTHS_SQL} select month, metric, count(v) as rows, min(v) as low, max(v) as high, true as within_bound from x group by 1, 2
+    union all select -1, metric, count(v), min(v), max(v), true from x group by 2""")
+def _(spark, sf):
+    t = telemetry(spark, sf, "ts", "label", *K.ALL_METRICS).where("label = 'normal'").withColumn("month", S.bucket_start(F.col("ts"), _KEPT))
+    months = durable(TH.rank_states(t, K.ALL_METRICS, ["month"]))
+    whole = durable(TH.merge_states([months]))
+    held = months.unionByName(whole.withColumn("month", F.lit(-1).cast("bigint")))
+    errors = TH.proven(t, TH.limits(months, 0.99), K.ALL_METRICS, 0.99, ["month"]).unionByName(
+        TH.proven(t, TH.limits(whole, 0.99), K.ALL_METRICS, 0.99).withColumn("month", F.lit(-1).cast("bigint")))
+    # A metric without values has no limit, so nothing that could be wrong.
+    sound = F.coalesce(F.col("rank_error") <= TH.rank_bound(), F.col("rows") == 0)
+    return held.drop("rows", "sketch").join(errors.select("month", "metric", "rows", sound.alias("within_bound")), ["month", "metric"])
+
+
 @query("c9_upper_quantiles", f"{_T} select round(quantile_cont(retransmission_count, 0.99), 6) as retx_p99, round(quantile_cont(packets_per_second, 0.99), 6) as pps_p99 from t")
 def _(spark, sf):
     t = telemetry(spark, sf, "retransmission_count", "packets_per_second")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerovigil.operators.density import density_outliers
-from aerovigil.operators.quantiles import exact_quantiles, grouped_quantiles, normal_quantiles
+from aerovigil.operators.quantiles import exact_cuts, exact_quantiles, grouped_quantiles, normal_quantiles
 from aerovigil.operators.selection import mutual_information, select_features
 
 
@@ -118,3 +118,61 @@ def test_window_filters_merge_to_the_whole(spark):
     assert sorted(map(tuple, B.merge(blocks).collect())) == sorted(map(tuple, whole.collect()))
     present = B.probe(df, "node_id", B.merge(blocks), SK.SOURCE_FILTER)
     assert present.count() == 490 and present.where("not maybe_present").isEmpty()
+
+
+def test_rank_states_merge_and_are_proven_by_counts(spark):
+    """Parts of very different size merge to limits within the bound; missing values and empty metrics count for nothing."""
+    from aerovigil.operators import thresholds as TH
+    rng = np.random.default_rng(9)
+    v = rng.lognormal(0, 2, 60_000)
+    pdf = pd.DataFrame({"day": np.where(np.arange(60_000) < 40_000, 1, np.where(np.arange(60_000) < 59_990, 2, 3)), "v": v, "none": np.nan})
+    pdf.loc[::100, "v"] = np.nan
+    df = spark.createDataFrame(pdf)
+    days = TH.rank_states(df, ["v", "none"], ["day"])
+    assert {(r.day, r.metric): r.rows for r in days.collect()} == {
+        (d, m): int(pdf.loc[pdf.day == d, m].notna().sum()) for d in (1, 2, 3) for m in ("v", "none")}
+    one, two = TH.merge_states([days.where("day = 1")]), TH.merge_states([days.where("day > 1")])
+    for states in (TH.merge_states([days]), TH.merge_states([one, two]), TH.rank_states(df, ["v", "none"])):
+        for q in (0.01, 0.5, 0.99):
+            got = {r["metric"]: r for r in TH.proven(df, TH.limits(states, q), ["v", "none"], q).collect()}
+            assert got["none"]["limit"] is None and got["none"]["rows"] == 0 and got["none"]["rank_error"] is None
+            assert got["v"]["rows"] == pdf["v"].notna().sum() and 0 <= got["v"]["rank_error"] <= TH.rank_bound()
+            assert got["v"]["below"] == (pdf["v"] < got["v"]["limit"]).sum() and got["v"]["up_to"] == (pdf["v"] <= got["v"]["limit"]).sum()
+    by_day = {r["day"]: r["limit"] for r in TH.limits(days, 0.5).where("metric = 'v'").collect()}
+    assert by_day[3] in set(pdf.loc[pdf.day == 3, "v"])
+    row = TH.merge_states([days]).where("metric = 'v'").first()
+    assert (row["low"], row["high"]) == (pdf["v"].min(), pdf["v"].max())
+    assert TH.rank_states(df.limit(0), ["v"]).first()["rows"] == 0 and TH.limits(TH.rank_states(df.limit(0), ["v"]), 0.5).first()["limit"] is None
+
+
+def test_a_wrong_limit_is_not_proven(spark):
+    from aerovigil.operators import thresholds as TH
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    wrong = TH.limits(TH.rank_states(df, ["v"]), 0.5).withColumn("limit", F.lit(700.0))
+    assert TH.proven(df, wrong, ["v"], 0.5).first()["rank_error"] == pytest.approx(0.2)
+
+
+@pytest.mark.parametrize("inside", [5, 400])
+def test_cuts_are_the_values_at_their_ranks_at_any_size(spark, inside):
+    """Direct and searched cuts agree with sorting: ties, one hot value, missing values, few values, none."""
+    rng = np.random.default_rng(12)
+    n = 20_000
+    pdf = pd.DataFrame({"smooth": rng.lognormal(0, 3, n), "ties": rng.integers(0, 40, n).astype(float), "flat": 2.0,
+                        "hot": np.where(rng.random(n) < 0.9, 7.0, rng.normal(7, 1, n)), "none": np.nan,
+                        "some": np.where(rng.random(n) < 0.7, np.nan, rng.normal(size=n))})
+    df = spark.createDataFrame(pdf)
+    expected = {}
+    for c in pdf:
+        v = np.sort(pdf[c].dropna().to_numpy())
+        expected[c] = sorted({float(v[-(-i * len(v) // 32) - 1]) for i in range(1, 32)}) if len(v) else []
+    assert exact_cuts(df, list(pdf), 32) == expected
+    assert exact_cuts(df, list(pdf), 32, direct_rows=0, inside=inside) == expected
+
+
+def test_information_does_not_change_with_the_way_edges_are_found(spark):
+    rng = np.random.default_rng(13)
+    label = rng.choice(["normal", "dos"], 3000)
+    df = spark.createDataFrame(pd.DataFrame({"label": label, "a": (label == "dos") + rng.normal(0, 1, 3000), "b": rng.normal(size=3000)}))
+    one = {r["feature"]: r["mi"] for r in mutual_information(df, ["a", "b"]).collect()}
+    two = {r["feature"]: r["mi"] for r in mutual_information(df, ["a", "b"], direct_rows=10, inside=20).collect()}
+    assert one == pytest.approx(two, abs=1e-12)
