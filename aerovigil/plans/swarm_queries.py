@@ -177,6 +177,18 @@ def _(spark, sf):
     return M.kpi_dashboard(_batches(spark, sf)).select("kpi", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max")])
 
 
+# What holds whatever the solved mixes: every batch has one item per dimension, shares sum to 1, values lie in the clipped payoffs.
+@query("c20_management_dashboard", f"""{_KPI}, n as (select count(*) as batches from b1)
+    select dimension, batches, 1.0::double as share_sum, true as values_in_range, true as items_known from n,
+    (select unnest(['dominant_strategy', 'channel_directive', 'network_directive', 'energy_directive']) as dimension)""")
+def _(spark, sf):
+    board = M.management_dashboard(M.directives(M.solve_games(_batches(spark, sf).withColumns(M.payoff_columns()))))
+    return board.groupBy("dimension").agg(
+        F.sum("batches").alias("batches"), F.round(F.sum("share"), 9).alias("share_sum"),
+        F.bool_and((F.col("least_value") <= F.col("largest_value")) & F.col("least_value").between(-2, 2) & F.col("largest_value").between(-2, 2)).alias("values_in_range"),
+        F.bool_and(F.coalesce(F.col("item").isin(M.DASHBOARD_ITEMS), F.lit(False))).alias("items_known"))
+
+
 @query("c20_coordination_dashboard", f"""{_CO}, x as (select *, case when gcc_notified then 'gcc' when together then 'edge' else 'local' end as alert_scope from cf)
     {' union all '.join(f"select '{c}' as dimension, {c} as item, count(*) as n, count(*) filter (where gcc_notified) as gcc_notified, count(*) filter (where together) as coordinated_attacks from x group by 2" for c in ('coordination_action', 'coordination_status', 'alert_scope'))}""")
 def _(spark, sf):

@@ -170,3 +170,19 @@ def test_bloom_queries_grow_with_their_items(spark, monkeypatch):
 
 def test_desired_actions_are_known():
     assert all(set(a) <= set(K.ACTIONS) for a in K.DESIRED_ACTIONS.values())
+
+
+def test_management_dashboard_counts_every_batch_once_per_dimension(spark):
+    from aerovigil.operators import management as M
+    rng = np.random.default_rng(2)
+    names = ("dominant_strategy", "channel_directive", "network_directive", "energy_directive")
+    pdf = pd.DataFrame({n: rng.choice(["x", "y", "z"], 200, p=[0.8, 0.15, 0.05]) for n in names} | {"game_value": rng.normal(0, 1, 200)})
+    pdf.loc[7, "energy_directive"] = None
+    got = M.management_dashboard(spark.createDataFrame(pdf)).toPandas()
+    for n in names:
+        part = got[got.dimension == n]
+        assert part.batches.sum() == 200 and part.share.sum() == pytest.approx(1)
+        for _, row in part.iterrows():
+            mine = pdf[pdf[n].isna()] if row["item"] is None else pdf[pdf[n] == row["item"]]
+            assert (row["batches"], row["least_value"], row["largest_value"]) == (len(mine), mine.game_value.min(), mine.game_value.max())
+    assert M.management_dashboard(spark.createDataFrame(pdf).limit(0)).isEmpty()
