@@ -46,20 +46,24 @@ def bit_positions(item: Column, shape: BloomShape) -> Column:
     return F.array(*[F.pmod(first + second * i, F.lit(shape.bits).cast("bigint")) for i in range(shape.hashes)])
 
 
+# Spark's bitmap functions number from 1, and put 0 into a block of its own; bits number from 0.
+_BLOCK, _OFFSET = "bitmap_bucket_number(bit + 1)", "bitmap_bit_position(bit + 1)"
+
+
 def build(df: DataFrame, item: str, shape: BloomShape) -> DataFrame:
-    """(block, bitmap): blocks of 32,768 bits. Items are made distinct first, so repeats cost nothing."""
+    """(block, bitmap): blocks of 32,768 bits, the first is 1. Items are made distinct first, so repeats cost nothing."""
     bits = (df.select(F.col(item).alias("item")).where(F.col("item").isNotNull()).distinct()
             .select(F.explode(bit_positions(F.col("item"), shape)).alias("bit")))
-    return (bits.groupBy(F.expr("bitmap_bucket_number(bit)").alias("block"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap")))
+    return (bits.groupBy(F.expr(_BLOCK).alias("block"))
+            .agg(F.expr(f"bitmap_construct_agg({_OFFSET})").alias("bitmap")))
 
 
 def build_by(df: DataFrame, keys: list[str], item: str, shape: BloomShape) -> DataFrame:
     """(keys, block, bitmap): a filter per key, for instance per time window. Filters of one shape merge by ``merge``."""
     bits = (df.select(*keys, F.col(item).alias("item")).where(F.col("item").isNotNull()).distinct()
             .select(*keys, F.explode(bit_positions(F.col("item"), shape)).alias("bit")))
-    return (bits.groupBy(*keys, F.expr("bitmap_bucket_number(bit)").alias("block"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap")))
+    return (bits.groupBy(*keys, F.expr(_BLOCK).alias("block"))
+            .agg(F.expr(f"bitmap_construct_agg({_OFFSET})").alias("bitmap")))
 
 
 def merge(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -76,7 +80,7 @@ def probe(df: DataFrame, item: str, blocks: DataFrame, shape: BloomShape) -> Dat
     """(item, maybe_present) for every distinct item of ``df``."""
     items = df.select(F.col(item).alias("item")).where(F.col("item").isNotNull()).distinct()
     asked = items.select("item", F.explode(bit_positions(F.col("item"), shape)).alias("bit")).withColumns({
-        "block": F.expr("bitmap_bucket_number(bit)"), "offset": F.expr("bitmap_bit_position(bit)")})
+        "block": F.expr(_BLOCK), "offset": F.expr(_OFFSET)})
     # At most bits / 32768 blocks of 4 KiB; broadcast only while there are few.
     joined = asked.join(small_side(blocks, 2_000), "block", "left")
     byte = F.conv(F.hex(F.substring("bitmap", (F.col("offset") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
