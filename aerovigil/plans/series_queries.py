@@ -124,7 +124,7 @@ def _(spark, sf):
     stddev_pop(noise_floor_dbm) filter (where {_WARM}) sd from s group by 1),
     r as (select s.*, max(noise_floor_dbm) over (partition by s.node_id order by ts, source_row_id rows between 30 preceding and current row) - mu as rise, greatest(3, sd * 2.5) as lim from s join w on s.node_id = w.node_id)
     select source_row_id, round(greatest(rise, 0), 6) as noise_floor_drift_db,
-    case when sum(case when rise > lim then 1 else 0 end) over {_frame(5)} >= 5 then 1 else 0 end as noise_floor_drift_flag from r""")
+    case when sum(case when round(rise - lim, 9) > 0 then 1 else 0 end) over {_frame(5)} >= 5 then 1 else 0 end as noise_floor_drift_flag from r""")
 def _(spark, sf):
     s = _series(spark, sf, "noise_floor_dbm")
     out = s.finish(R.noise_drift(s, R.warmup_statistics(s, s.rows, ["noise_floor_dbm"])))

@@ -94,3 +94,12 @@ def test_run_length_and_last_state_with_chunks(rows):
         d = s.finish(R.last_where(s, d, F.col("label") == "normal", ["snr_db"], "safe"))
         out.append(collect(d.withColumn("safe", F.col("safe.snr_db")), "run", "safe"))
     pd.testing.assert_frame_equal(*out)
+
+
+def test_a_rise_equal_to_its_limit_is_no_drift(spark):
+    # 4.9 - 1.9 is 3.0000000000000004 in doubles; the limit of a calm node is 3.
+    values = [1.9] * 50 + [4.9] * 10
+    df = spark.createDataFrame([(i, "a", i, v) for i, v in enumerate(values)], "source_row_id long, node_id string, ts long, noise_floor_dbm double")
+    s = order_rows(df, ["ts", "source_row_id"], ["node_id"], halo=31)
+    out = R.noise_drift(s, R.warmup_statistics(s, s.rows, ["noise_floor_dbm"]))
+    assert out.where("noise_floor_drift_flag = 1").count() == 0
