@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerovigil import session
-from aerovigil.operators import response, series
+from aerovigil.operators import response, sampling, series
 from aerovigil.operators.ledger import failed_batches, merkle_batches, seal, verify
 from aerovigil.operators.ordered import add_positions, order_rows
 from aerovigil.operators.peers import peer_deviations
@@ -125,3 +125,25 @@ def test_discard_removes_a_stage_table(spark):
     session.discard(kept)
     import os
     assert not os.path.exists(folder)
+
+
+def test_rank_selection_computes_its_values_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    df = spark.range(5_000).select(F.udf(counted, "double")("id").alias("v"))
+    assert exact_quantiles(df, {"q": (F.col("v"), 0.99)}, direct_cells=0, inside=100, rows=5_000)["q"] == pytest.approx(4949.01)
+    assert seen.value == 5_000
+
+
+def test_partners_need_no_sequences(spark):
+    rows = spark.range(500).selectExpr("id as source_row_id", "if(id % 3 = 0, 'normal', 'dos') as label", "array(array(cast(id as double))) as sequence")
+    pairs = {tuple(r) for r in sampling.partners(rows.drop("sequence"), rows_per_partition=50).collect()}
+    assert len(pairs) == 500 and len({p for *_, p in pairs}) == 500
+    blended = sampling.interpolate(rows, rows_per_partition=50)
+    assert {tuple(r) for r in blended.select("source_row_id", "label", "partner_id").collect()} == pairs
+    wrong = F.abs(F.col("sequence")[0][0] - F.col("alpha") * F.col("source_row_id") - (1 - F.col("alpha")) * F.col("partner_id")) > 1e-9
+    assert blended.where(wrong).count() == 0
