@@ -110,18 +110,12 @@ def _detector_sql():
 @query("i2_i3_i4_stream_detector", _detector_sql())
 def _(spark, sf):
     metrics = [m for m in dict.fromkeys([*D.EWMA_METRICS, *D.CUSUM_DIRECTIONS])]
-    found = _replay(spark, sf, _telemetry_stream(spark, sf, "node_id", "ts", *metrics), D.detect_stream, "detector")
-
-    def detail(column, metric, field):
-        return F.get(F.filter(column, lambda d: d.metric == metric), F.lit(0))[field]
-
+    shown = ["source_row_id", "window_id", "ewma_alarms", "cusum_alarms", "ewma_alarm", "cusum_alarm", "jam_alarm", "consecutive_alarms", "confidence", "severity"]
     # The shift keeps four-digit values off the ties of the second rounding.
-    z = [F.round(detail("ewma_details", m, "z_score") + 0.00123, 2).alias(f"z_{m}") for m in D.EWMA_METRICS]
-    s = [F.round(F.abs(detail("cusum_details", m, "s_up") + detail("cusum_details", m, "s_dn")) + 0.00123, 2).alias(f"s_{m}")
-         for m in D.CUSUM_DIRECTIONS]
-    return found.select(
-        "source_row_id", "window_id", "ewma_alarms", "cusum_alarms", "ewma_alarm", "cusum_alarm", "jam_alarm", "consecutive_alarms", "confidence",
-        "severity", *z, *s)
+    z = [F.round(F.col(f"ewma_{m}_z_score") + 0.00123, 2).alias(f"z_{m}") for m in D.EWMA_METRICS]
+    s = [F.round(F.abs(F.col(f"cusum_{m}_s_up") + F.col(f"cusum_{m}_s_dn")) + 0.00123, 2).alias(f"s_{m}") for m in D.CUSUM_DIRECTIONS]
+    return _replay(spark, sf, _telemetry_stream(spark, sf, "node_id", "ts", *metrics),
+                   lambda *stream: D.detect_columns(*stream).select(*shown, *z, *s), "detector")
 
 
 # Beta trust in closed form, clamped trust by recursion.

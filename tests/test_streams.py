@@ -14,7 +14,7 @@ from aerovigil.plans import load_all
 from aerovigil.plans.registry import ORACLES, QUERIES
 from aerovigil.streaming import detectors as D
 from aerovigil.streaming import trust as T
-from aerovigil.streaming.eventtime import PROVIDER, ROCKSDB, run_to_end
+from aerovigil.streaming.eventtime import CLOSING, PROVIDER, ROCKSDB, OrderedFold, run_to_end
 from aerovigil.streaming.runs import merkle_log_writer, run_available, run_counted
 from aerovigil.streaming.windows import first_per_key, with_event_time
 
@@ -74,6 +74,80 @@ def test_stream_equals_fold_whatever_the_order_of_arrival(spark, tmp_path, shuff
         assert len(got.at[i, "cusum_details"]) == 2
 
 
+def test_many_rows_at_once_fold_like_one_by_one():
+    """Columns and carried state of ``advance_rows`` are those of ``advance``, over missing values, resets and cuts anywhere."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({m: rng.normal(20, 5, 150) for m in dict.fromkeys([*D.EWMA_METRICS, *D.CUSUM_DIRECTIONS])})
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.1).assign(reset=np.arange(150) % 47 == 46)
+    pdf.loc[60:70, "snr_db"] += 60
+    one, many, at = D.fresh(), D.fresh(), 0
+    for size in (1, 4, 0, 55, 90):
+        part = pdf.iloc[at:at + size]
+        got, at = pd.DataFrame(D.advance_rows(many, part)), at + size
+        for i, values in enumerate(part.to_dict("records")):
+            want = D.advance(one, values)
+            details = {f"{kind}_{d['metric']}_{f}": v for kind in ("ewma", "cusum") for d in want.pop(f"{kind}_details") for f, v in d.items() if f not in ("metric", "phase")}
+            flat = {**want, **{k: v for k, v in details.items() if v is not None}}
+            shown = {k: v for k, v in got.iloc[i].to_dict().items() if not (isinstance(v, float) and math.isnan(v))}
+            assert shown == flat
+        assert many == one
+
+
+def test_small_buckets_that_are_due_are_folded_together():
+    """Six buckets of a key that the watermark has passed: one fold in order of time, and no state call for the timers that follow."""
+    class Held(dict):
+        calls = 0
+
+        def keys(self):
+            self.calls += 1
+            return iter(list(super().keys()))
+
+        updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def exists(self):
+            return self.held is not None
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        waiting, timers = Held(), []
+
+        def getMapState(self, *_):
+            return self.waiting
+
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Watermark:
+        def getCurrentWatermarkInMs(self):
+            return 10 ** 15
+
+    folds = []
+
+    def fold(state, rows):
+        folds.append(rows["source_row_id"].tolist())
+        return state, rows[["source_row_id"]].copy()
+
+    handle, rng = Handle(), np.random.default_rng(1)
+    ids = rng.permutation(60)
+    pdf = pd.DataFrame({"source_row_id": ids, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(ids, unit="s"), CLOSING: False})
+    p = OrderedFold(fold, lambda: (0,), "n long", "node_id", 10_000)
+    p.init(handle)
+    list(p.handleInputRows(("a",), iter([pdf.iloc[:25], pdf.iloc[25:]]), None))
+    out = [f for _ in range(6) for f in p.handleExpiredTimer(("a",), Watermark(), None)]
+    assert folds == [list(range(60))] and len(out) == 1 and handle.waiting == {} and handle.waiting.calls == 1 and len(set(handle.timers)) == 6
+
+
 def test_rows_come_out_as_the_watermark_passes_and_later_ones_are_dropped(spark, tmp_path):
     """Without a closing row only passed buckets come out; a row behind the watermark of the batch before is dropped."""
     pdf = _rows(80)
