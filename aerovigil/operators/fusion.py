@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,10 +106,10 @@ def severity(attack: Column, run: Column, fusion: Column) -> Column:
                        (attack & (fusion >= 0.50), "MEDIUM")], "LOW")
 
 
-def reason_codes(limits: dict) -> Column:
+def _reasons(limits: dict) -> list[tuple[str, Column]]:
     col = F.col
     many, high, _ = source_signals(limits)
-    return S.names_where([
+    return [
         ("EDGE_ALARM", col("edge_alarm") == 1),
         ("GRU_JAM_ANOMALY", col("gru_jam_flag") == 1),
         ("LSTM_AE_JAM_CONFIRMED", col("jamming_ae_flag") == 1),
@@ -126,19 +128,41 @@ def reason_codes(limits: dict) -> Column:
         ("HIGH_SOURCE_COUNT", many),
         ("NOISE_FLOOR_ELEVATED", col("noise_floor_drift_flag") == 1),
         ("PHYSICAL_IMPOSSIBILITY", (col("bit_error_rate") > 0.30) & (col("snr_db") < 0)),
-    ])
+    ]
+
+
+def reason_codes(limits: dict) -> Column:
+    return S.names_where(_reasons(limits))
+
+
+#: Reasons in the order of their bits.
+REASONS = ["EDGE_ALARM", "GRU_JAM_ANOMALY", "LSTM_AE_JAM_CONFIRMED", "CNN_LSTM_JAM_DETECTED", "CNN_LSTM_DOS_DETECTED",
+           "CNN_LSTM_HYBRID_DETECTED", "LSTM_AE_DOS_CONFIRMED", "DBSCAN_TRAFFIC_OUTLIER", "HIGH_JAM_THRESHOLD_SCORE",
+           "HIGH_DOS_THRESHOLD_SCORE", "CROSS_LAYER_ATTACK", "HIGH_CROSS_LAYER_SCORE", "SWARM_CONSENSUS_ANOMALY", "COORDINATED_FLOOD",
+           "HIGH_SRC_ENTROPY", "HIGH_SOURCE_COUNT", "NOISE_FLOOR_ELEVATED", "PHYSICAL_IMPOSSIBILITY"]
+
+
+def reason_bits(limits: dict) -> Column:
+    """The reasons as bits of an int, so that they travel in four bytes; ``reason_names`` spells them out."""
+    held = dict(_reasons(limits))
+    return reduce(Column.bitwiseOR, [F.when(held[n], F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(REASONS)])
+
+
+def reason_names(bits: Column) -> Column:
+    return S.names_where([(n, bits.bitwiseAND(F.lit(1 << i)) != 0) for i, n in enumerate(REASONS)])
 
 
 def fuse(df: DataFrame, edge: DataFrame | None = None, gateway: DataFrame | None = None,
          limits: dict | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The detection table: features plus scores, label, severity, run length and reason codes."""
+    """The detection table: features plus scores, label, severity, run length, reason codes and their ``reason_bits``."""
     base = attach_scores(df, edge, gateway)
     limits = limits or fusion_limits(base)
     scored = risk_scores(base, limits)
     labelled = scored.withColumns({"final_label": final_label(limits),
-                                   "detection_reason_codes": reason_codes(limits)})
+                                   "reason_bits": reason_bits(limits)})
     s = order_rows(labelled, ["ts", "source_row_id"], ["node_id"], rows_per_task=rows_per_task)
     attack = F.col("final_label") != "NORMAL"
     out = s.finish(run_length(s, s.rows, attack, "consecutive_attack_count"))
-    return (out.withColumn("severity", severity(attack, F.col("consecutive_attack_count"), F.col("_fusion")))
+    return (out.withColumns({"severity": severity(attack, F.col("consecutive_attack_count"), F.col("_fusion")),
+                             "detection_reason_codes": reason_names(F.col("reason_bits"))})
             .drop("_jam", "_dos", "_hybrid", "_fusion", "_pos"))

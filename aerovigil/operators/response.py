@@ -11,6 +11,7 @@ from aerovigil.functions import scalars as S
 from aerovigil.operators import series
 from aerovigil.operators.ordered import ROWS_PER_TASK, order_rows
 from aerovigil.operators.trust import clamped_trust
+from aerovigil.session import durable
 
 
 _RULE_COLUMNS = ["consecutive_attack_count", "edge_alarm", "snr_db", "packets_per_second", "syn_packet_rate", "half_open_connections",
@@ -236,14 +237,25 @@ def decide(df: DataFrame, policy: DataFrame | None = None) -> DataFrame:
         "_rf_neighbors", "_rf_edge", "_rf_gcc", "_net_neighbors", "_net_edge", "_net_gcc", "_net_selected")
 
 
+def running_trust(prepared: DataFrame, carry: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Trust of both channels around each row, beside the row id and the columns ``carry``; all others are left behind before the exchange."""
+    return clamped_trust(prepared, trust_steps(), rows_per_task=rows_per_task, carry=carry)
+
+
 def respond(detection: DataFrame, policy: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The response table, one row per detection row."""
+    """The response table, one row per detection row.
+
+    ``detection`` is read once, so it may be a plan: rows are written with their trust, and the policy is learned from there.
+    """
     df = prepare(detection)
-    policy = policy if policy is not None else greedy_policy(action_values(df))
     df = df.withColumn("node_type", S.with_default(df, "node_type", "uav"))
-    # The rows the rules read pass through the trust step; all other columns are left behind before the exchange.
-    carry = list(dict.fromkeys(["ts", "node_id", "node_type", "final_label", "severity", "fusion_confidence", *_RULE_COLUMNS]))
-    rows = clamped_trust(df, trust_steps(), rows_per_task=rows_per_task, carry=carry)
+    # What the rules and the reward read passes through the trust step.
+    read = _RULE_COLUMNS if policy is not None else [*_RULE_COLUMNS, "error_response_rate"]
+    carry = list(dict.fromkeys(["ts", "node_id", "node_type", "final_label", "severity", "fusion_confidence", *read]))
+    rows = running_trust(df, carry, rows_per_task)
+    if policy is None:
+        rows = durable(rows)
+        policy = greedy_policy(action_values(rows))
     return decide(rows, policy).select(
         "source_row_id", "ts", "node_id", "node_type", "final_label", "severity", "fusion_confidence",
         F.col("signal_before").alias("trust_before_signal"), F.col("network_before").alias("trust_before_network"),
@@ -255,6 +267,12 @@ def respond(detection: DataFrame, policy: DataFrame | None = None, rows_per_task
         "notify_neighbors", "notify_edge", "notify_gcc", "response_status", "response_success")
 
 
+#: Columns of a prepared row that its state reads beside trust.
+STATE_COLUMNS = ["jam_risk_score", "dos_risk_score", "hybrid_risk_score", "fusion_confidence", "edge_alarm", "cross_layer_anomaly_score", "snr_db",
+                 "channel_occupancy_pct", "packet_delivery_ratio", "half_open_connections", "src_ip_entropy", "error_response_rate",
+                 "consecutive_attack_count"]
+
+
 def state_vector(df: DataFrame, signal_trust: str = "signal_trust_after", network_trust: str = "network_trust_before") -> Column:
     """Fifteen values in [0, 1]; radio trust after, network trust before the row's third tier."""
     col = F.col

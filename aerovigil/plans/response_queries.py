@@ -51,7 +51,7 @@ RESPONSE_CTE = DETECTION_CTE.replace("with t as", "with recursive t as", 1) + f"
 
 
 def response(spark, sf):
-    return R.respond(durable(detection(spark, sf)))
+    return R.respond(detection(spark, sf))
 
 
 def _prepared(spark, sf):
@@ -150,7 +150,9 @@ def _(spark, sf):
     round(nb, 6) as trust_before_network, round(nm, 6) as network_trust_before, round(na, 6) as network_trust_after from resp""")
 def _(spark, sf):
     names = ["trust_before_signal", "signal_trust_before", "signal_trust_after", "trust_before_network", "network_trust_before", "network_trust_after"]
-    return response(spark, sf).select("source_row_id", *[(F.round(n, 6) + 0.0).alias(n) for n in names])
+    rows = R.running_trust(_prepared(spark, sf))  # trust does not depend on the policy, so that is not learned for it
+    steps = [f"{c}_{k}" for c in ("signal", "network") for k in ("before", "middle", "after")]
+    return rows.select("source_row_id", *[(F.round(s, 6) + 0.0).alias(n) for s, n in zip(steps, names)])
 
 
 @query("d22_last_safe_state", f"""{DETECTION_CTE}, o as (select *, row_number() over (partition by node_id order by ts, source_row_id) as rn from det),
