@@ -64,9 +64,9 @@ def _prepared(spark, sf):
         'channel_occupancy_pct / 100', 'packet_delivery_ratio', 'half_open_connections / 20000', 'src_ip_entropy / 9', 'error_response_rate',
         'consecutive_attack_count / 20', 'sa', 'nm'))}) as state from resp""")
 def _(spark, sf):
-    d = durable(_prepared(spark, sf))
-    r = R.respond(d).select("source_row_id", "signal_trust_after", "network_trust_before")
-    v = d.join(r, "source_row_id").withColumn("v", R.state_vector(d))
+    # The values of the state travel with the row through the trust step, so nothing is written or joined.
+    rows = R.running_trust(_prepared(spark, sf), R.STATE_COLUMNS)
+    v = rows.withColumn("v", R.state_vector(rows, "signal_after", "network_middle"))
     text = F.transform("v", lambda x: F.round(x * 10000 + 0.0001).cast("bigint").cast("string"))
     return v.select("source_row_id", F.array_join(text, ",").alias("state"))
 

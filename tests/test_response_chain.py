@@ -8,6 +8,7 @@ from aerovigil.operators import ledger as L
 from aerovigil.operators import management as M
 from aerovigil.operators import response as R
 from aerovigil.plans import swarm_queries as Q
+from aerovigil.plans.registry import QUERIES
 
 
 def plan(df):
@@ -70,3 +71,19 @@ def test_a_log_sealed_for_the_report_carries_only_what_it_reads(tables):
     assert rows(whole, *names) == rows(short, *names)
     reports = [rows(L.log_report(x, L.merkle_batches(x)), "dimension", "item", "n", "share") for x in (whole, short)]
     assert reports[0] == reports[1]
+
+
+def test_clamped_trust_runs_in_the_exchange_of_the_detection(spark, sf):
+    for name in ("d12_clamped_trust", "b29_state_vector"):
+        found = plan(QUERIES[name](session.tune(spark), sf))
+        assert found.count("Exchange hashpartitioning") == 1 and "Join" not in found and "/stage-" not in found, name
+
+
+def test_reasons_travel_as_bits(spark, sf):
+    from aerovigil.operators import fusion as FU
+    df = Q.telemetry(session.tune(spark), sf, scores=True)
+    base = FU.attach_scores(df, None, None)
+    limits = FU.fusion_limits(base)
+    assert [n for n, _ in FU._reasons(limits)] == FU.REASONS
+    want = {r[0]: r[1] for r in base.select("source_row_id", FU.reason_codes(limits)).collect()}
+    assert want == {r[0]: r[1] for r in FU.fuse(df, limits=limits).select("source_row_id", "detection_reason_codes").collect()}
