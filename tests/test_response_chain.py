@@ -87,3 +87,41 @@ def test_reasons_travel_as_bits(spark, sf):
     assert [n for n, _ in FU._reasons(limits)] == FU.REASONS
     want = {r[0]: r[1] for r in base.select("source_row_id", FU.reason_codes(limits)).collect()}
     assert want == {r[0]: r[1] for r in FU.fuse(df, limits=limits).select("source_row_id", "detection_reason_codes").collect()}
+
+
+def test_recent_nodes_across_short_ranges(spark):
+    """Ranges shorter than the frame, null nodes and labels: as a scan over the sorted rows finds it."""
+    import random
+    chance = random.Random(3)
+    data = [(chance.randrange(15), chance.choice(["b", "a", "c", "é", None]), i, chance.choice(["JAMMING", "DOS", "NORMAL", "SUSPICIOUS", None]),
+             chance.choice([0.2, 0.5, 0.9, None])) for i in range(120)]
+    df = spark.createDataFrame(data, "t int, node_id string, source_row_id int, final_label string, fusion_confidence double").selectExpr(
+        "timestamp_seconds(t) as ts", "node_id", "source_row_id", "final_label", "fusion_confidence")
+    order = sorted(data, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode(), r[2]))
+    want = {}
+    for i, r in enumerate(order):
+        last = order[max(0, i - 9):i + 1]
+        sure = {x[1] for x in last if x[1] is not None and x[3] in ("JAMMING", "DOS") and (x[4] or 0) >= 0.5}
+        odd = {x[1] for x in last if x[1] is not None and x[3] not in ("NORMAL", None)}
+        want[r[2]] = (sorted(sure, key=str.encode), min(len(odd) / 5, 1.0), i + 1)
+    for size in (4, 7, 50, 1000):
+        out = C.in_global_order(df, rows_per_task=size).collect()
+        assert {r["source_row_id"]: (r["coordinated_nodes"], r["multi_node_factor"], r["_pos"]) for r in out} == want, size
+
+
+def test_the_log_needs_no_join_by_row_id(spark, sf):
+    """Counts carry no trust through the exchanges; the whole log has it, and both count the same events."""
+    few, whole = (Q._events(session.tune(spark), sf, whole=w) for w in (False, True))
+    for events in (few, whole):
+        assert "SortMergeJoin" not in plan(events)
+    assert rows(L.log_analytics(few), "dimension", "item", "n") == rows(L.log_analytics(whole), "dimension", "item", "n")
+    assert whole.where("source_type = 'uav_ugv'").agg({"sensor_summary.signal_trust_after": "min"}).first()[0] < 1.0
+
+
+def test_rows_without_time_are_logged(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("* except (l_shipdate)", "if(l_orderkey % 50 = 0, null, l_shipdate) as l_shipdate").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    t = Q.telemetry(spark, str(tmp_path), "ts")
+    there = t.where("ts is not null").count()
+    counts = dict(Q._events(session.tune(spark), str(tmp_path), whole=False).groupBy("source_type").count().collect())
+    assert there < t.count() and counts == {"uav_ugv": t.count(), "edge": there, "gcc": -(-there // 30)}
