@@ -151,8 +151,8 @@ def _(spark, sf):
     r as (select *, {_RATIOS_SQL} from i)
     select source_row_id, label, {', '.join(f'round({c}, 5) as {c}' for c in ALL_METRICS + RATIO_COLUMNS)} from r""")
 def _(spark, sf):
-    checked = Q.check_quality(raw(spark, sf)).withColumn("quality_issue_score", F.round("quality_issue_score", 9))
-    return Q.clean(checked).select("source_row_id", "label", *[F.round(c, 5).alias(c) for c in ALL_METRICS + RATIO_COLUMNS])
+    cleaned = Q.check_and_clean(raw(spark, sf), digits=9, keep=["source_row_id", "label", *ALL_METRICS])
+    return cleaned.select("source_row_id", "label", *[F.round(c, 5).alias(c) for c in ALL_METRICS + RATIO_COLUMNS])
 
 
 _SCALED = ["snr_db", "packets_per_second", "cca_failure_count", "channel_occupancy_pct"]

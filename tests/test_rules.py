@@ -186,3 +186,21 @@ def test_management_dashboard_counts_every_batch_once_per_dimension(spark):
             mine = pdf[pdf[n].isna()] if row["item"] is None else pdf[pdf[n] == row["item"]]
             assert (row["batches"], row["least_value"], row["largest_value"]) == (len(mine), mine.game_value.min(), mine.game_value.max())
     assert M.management_dashboard(spark.createDataFrame(pdf).limit(0)).isEmpty()
+
+
+def test_check_and_clean_in_one_exchange(spark, sf, tmp_path):
+    """The same rows and values as check and clean one after the other, with copies that are first, poor, or both."""
+    from aerovigil.sources.fixtures import telemetry
+    t = telemetry(spark, sf, raw=True).selectExpr("* except (ts, node_id)", "date_trunc('quarter', ts) as ts",
+                                                  "if(source_row_id % 31 = 0, null, concat('n', source_row_id % 20)) as node_id")
+    t = t.withColumn("rssi_dbm", F.when(F.col("source_row_id") % 3 == 0, None).otherwise(F.col("rssi_dbm"))).withColumn(
+        "snr_db", F.when(F.col("source_row_id") % 4 == 0, 500.0).otherwise(F.col("snr_db")))
+    t.write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    two, one = Q.clean(Q.check_quality(t)), Q.check_and_clean(t)
+    assert set(one.columns) == set(two.columns)
+    names = ["source_row_id", "quality_issue_score", "spike_fields", "out_of_range_fields", *K.ALL_METRICS]
+    want = sorted(map(str, two.select(*names).collect()))
+    assert sorted(map(str, one.select(*names).collect())) == want
+    first = {r[0] for r in Q.first_rows(t).collect()}
+    assert {r["source_row_id"] for r in two.select("source_row_id").collect()} - first  # a later copy stays where the first is poor
